@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from shelfmark.llm.shared import ship
+
 #: Bytes of a word up to which a scan for the minimum is used.
 SCAN_LIMIT = 256
 #: Words that a worker remembers, about 100 bytes each.
@@ -135,6 +137,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     holds one text with its ids at a time besides its batch. Other columns of `docs` play
     no part, whatever their names.
     """
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     fields = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
 

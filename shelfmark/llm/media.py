@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shelfmark.llm.textkernel import buffers
+from shelfmark.llm.shared import ship
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -142,6 +143,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", media
     from the decoded file. Null texts count as empty. Equal texts give equal values. No
     shuffle; a worker holds one image at a time besides its batch.
     """
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     fields = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * media
 

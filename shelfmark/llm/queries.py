@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, media, mixing, sharding
+from shelfmark.llm import bpe, chat, langid, media, minhash, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +31,28 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(*langid.sample(docs)))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(*quality.sample(docs, _table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_sharding, op5_media, op6_chat, op8_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op4_sharding, op5_media, op6_chat, op7_language, op8_bpe, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
