@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, langid, media, minhash, mixing, quality, sharding
+from shelfmark.llm import bpe, chat, embedding, langid, media, minhash, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 24)
 
@@ -52,8 +56,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_sharding, op5_media, op6_chat, op7_language, op8_bpe, op9_minhash, op10_quality)}
+    return {f.__name__: f for f in (op2_mixing, op3_embedding, op4_sharding, op5_media, op6_chat, op7_language, op8_bpe, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_embedding": embedding.ORACLE}
