@@ -11,9 +11,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing
+from shelfmark.llm import bpe, langid, minhash, mixing, substring
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text's mean word posterior below which its language counts as unknown.
+LEAST_SCORE = 0.35
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; text without a letter and undecided text goes."""
+    model = langid.fit(*langid.sample(docs))
+    told = langid.predict(docs, model, keep=COLUMNS[1:])
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat; a text that loses nothing stays as it is."""
+    done = substring.dedup(docs, with_text=True, keep=("text", "lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +51,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing", mix_sources), ("bpe", encode)]
+STAGES = [
+    ("language_id", known_language),
+    ("minhash_near_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 #: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None

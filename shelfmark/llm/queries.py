@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, embedding, langid, media, minhash, mixing, quality, sharding
+from shelfmark.llm import bpe, chat, embedding, langid, media, minhash, mixing, quality, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_embedding, op4_sharding, op5_media, op6_chat, op7_language, op8_bpe, op9_minhash, op10_quality)}
+    return {f.__name__: f for f in (op1_substring, op2_mixing, op3_embedding, op4_sharding, op5_media, op6_chat, op7_language, op8_bpe, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
