@@ -63,21 +63,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     carry keys and sizes, besides `keep`, never texts that aren't kept.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     bits = F.char_length(F.bin("size"))
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = rows.withColumn("class", bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int"))
+    rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))  # never null: one partitioning serves window and join
     rows = rows.withColumn("salt", F.substring(F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))), 1, 2))
-    cells = rows.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    aims = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    aims = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", _unit(F.concat(F.lit(seed), name)))
-    earlier = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("source", "class", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    cells = cells.alias("c").join(aims.alias("a"), F.col("c.source").eqNullSafe(F.col("a.source"))).select("c.source", "class", "salt", "start", "source_size", "target", "rate", "offset")
-    within = Window.partitionBy("source", "class", "salt").orderBy("size", "_key")
-    rows = rows.withColumn("at", F.row_number().over(within))
-    same = F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.class") == F.col("c.class")) & (F.col("r.salt") == F.col("c.salt"))
-    rows = rows.alias("r").join(cells.alias("c"), same).select("r.*", "start", "source_size", "target", "rate", "offset")
+    cells = rows.groupBy("name", "class", "salt").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words"))
+    aims = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap).withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    aims = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", _unit(F.concat(F.lit(seed), F.col("name"))))
+    earlier = Window.partitionBy("name").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("name", "class", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    cells = cells.join(aims.drop("source"), "name")
+    within = Window.partitionBy("name", "class", "salt").orderBy("size", "_key")
+    rows = rows.withColumn("at", F.row_number().over(within)).join(cells, ["name", "class", "salt"])
     place = F.col("start") + F.col("at")
     copies = (F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))).cast("long")
     return rows.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
