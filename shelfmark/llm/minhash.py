@@ -7,12 +7,13 @@ signature is split into CHUNKS chunks; by the pigeonhole principle a pair within
 has a chunk with at most ``DISTANCE // CHUNKS`` = 1 error, so indexing each chunk once with
 each of its positions left out finds every pair within the distance, whatever the data.
 
-Texts with equal sets are one class from the start. Links are found in steps that emit no
-group's pairs: (1) each bucket links its classes to its smallest, where signatures agree;
-(2) what is still apart in some bucket is compared by signature there, pair by pair, and
-only pairs within the distance leave the bucket; (3) all those links are confirmed on full
-sets; (4) where a link failed, pairs of the same bucket that are now apart are tried too.
-Components of the confirmed links are then those of all links within the distance.
+Texts with equal sets are one class from the start. No step emits a group's pairs: (1)
+each bucket links its classes to its smallest, where signatures are within DISTANCE; (2)
+classes of a bucket that were not drawn together so are compared by signature there, and
+the edges of a spanning forest leave; (3) components of those edges are the candidate
+groups, which hold every pair within DISTANCE; (4) full sets are sent to their group, large
+groups in pairs of blocks, every pair that could still join two parts is confirmed on full
+sets there, and again a forest leaves. Its components are those of all links.
 
 Words are split and A-Z lower-cased as in :mod:`textkernel`; a text of fewer words than a
 shingle is one shingle; null and empty texts have no shingles and link with nothing. Sets
@@ -29,13 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import components, cut, ship
+from shelfmark.llm.shared import Forest, components, cut, ship
 
 WORDS = 5
 POSITIONS, BITS, CHUNK = 68, 16, 4
 CHUNKS = POSITIONS // CHUNK
 DISTANCE = 33
 assert DISTANCE // CHUNKS == 1
+#: Classes of a candidate group that are compared with one another, or with as many, in one task.
+BLOCK = 512
+#: Buckets from this size on are compared row by row, smaller ones many at a time.
+LARGE = 64
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -132,42 +137,68 @@ def _close(batches):
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], ["a", "b"])
 
 
-def _apart(batches):
-    """Pairs within DISTANCE that share a key and differ in component; rows come by key.
+def _runs(batches, keys: int, columns: int):
+    """Arrays of `columns` columns that hold whole runs of equal values in the first `keys`.
 
-    Holds the rows of one key, besides a batch.
+    Rows come in order of those. Holds one run besides a batch.
     """
-
-    def pairs(key, ids, comp, n, sig):
-        live = np.arange(len(key))
-        d = 0
-        while True:
-            d += 1
-            live = live[live + d < len(key)]
-            live = live[key[live] == key[live + d]]
-            if not len(live):
-                return
-            two = live[comp[live] != comp[live + d]]
-            for k in range(0, len(two), 65536):
-                i, j = two[k : k + 65536], two[k : k + 65536] + d
-                good = _near(sig[i], sig[j], n[i], n[j])
-                if good.any():
-                    x, y = ids[i[good]], ids[j[good]]
-                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
     held = None
     for batch in batches:
         if not len(batch):
             continue
-        now = [batch.column(k).to_numpy() for k in range(4)] + [_rows(batch.column(4))]
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
-        last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if (now[0] != now[0][-1]).any() else 0
-        yield from pairs(*(x[:last] for x in now))
+        other = np.zeros(len(now[0]), bool)
+        for x in now[:keys]:
+            other |= x != x[-1]
+        at = np.flatnonzero(other)
+        last = int(at[-1]) + 1 if len(at) else 0
+        if last:
+            yield [x[:last] for x in now]
         held = [x[last:] for x in now]
     if held is not None:
-        yield from pairs(*held)
+        yield held
+
+
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _apart(batches):
+    """A spanning forest of the pairs within DISTANCE that share a key and differ in component.
+
+    Rows come by key: key, id, component, n, signature.
+    """
+    forest = Forest()
+    for key, ids, comp, n, raw in _runs(batches, 1, 5):
+        sig = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, POSITIONS)
+        found: list[tuple[int, int]] = []
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff([*begins, len(key)])
+        for a, size in zip(begins[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist()):
+            label = np.unique(comp[a : a + size], return_inverse=True)[1]
+            for i in range(size - 1):
+                if (label == label[0]).all():
+                    break
+                j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                j = j[_near(sig[a + j], np.broadcast_to(sig[a + i], (len(j), POSITIONS)), n[a + j], n[a + i])]
+                if len(j):
+                    _, one = np.unique(label[j], return_index=True)
+                    found += [(int(ids[a + i]), int(ids[a + k])) for k in j[one]]
+                    label[np.isin(label, label[j])] = label[i]
+        live = np.flatnonzero(np.repeat(sizes < LARGE, sizes))
+        gap = 0
+        while len(live):
+            gap += 1
+            live = live[live + gap < len(key)]
+            live = live[key[live] == key[live + gap]]
+            two = live[comp[live] != comp[live + gap]]
+            two = two[_near(sig[two], sig[two + gap], n[two], n[two + gap])]
+            found += zip(ids[two].tolist(), ids[two + gap].tolist())
+        found = [x for x in found if forest.join(*x)]
+        if found:
+            yield _edges(*zip(*found))
 
 
 def _sets(batches):
@@ -179,17 +210,58 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "members"])
 
 
+def _linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets, by their places."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    out: list[tuple[int, int]] = []
+    if m == 2:
+        a, b = sorted(sets, key=len)
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        same = int((b[at] == a).sum())
+        return [(0, 1)] if 100 * same >= 75 * (len(a) + len(b) - same) else []
+    # places of each element that occurs more than once, so that a set's overlaps are counts
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    order = np.argsort(flat, kind="stable")
+    flat, posting = flat[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    length = np.diff([*begins, len(flat)])
+    element = np.empty(len(flat), np.int64)
+    element[order] = np.repeat(np.arange(len(begins)), length)
+    first = np.cumsum(size) - size
+    label = np.arange(m)
+    for i in range(m - 1):
+        if (label == label[0]).all():
+            break
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        own = element[first[i] : first[i] + size[i]]
+        own = own[length[own] > 1]
+        same = np.bincount(posting[tk.ranges(begins[own], length[own])], minlength=m)
+        j = i + 1 + np.flatnonzero((100 * same >= 75 * (size + size[i] - same))[i + 1 :] & (label[i + 1 :] != label[i]))
+        if len(j):
+            _, one = np.unique(label[j], return_index=True)
+            out += [(i, int(k)) for k in j[one]]
+            label[np.isin(label, label[j])] = label[i]
+    return out
+
+
 def _confirm(batches):
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            same = int((b[at] == a).sum())
-            good.append(100 * same >= 75 * (len(a) + len(b) - same))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
+    """A forest of the links of each candidate group or pair of its blocks, on full sets.
+
+    Rows come by group and blocks: component, i, j, id, members.
+    """
+    for comp, i, j, ids, blobs in _runs(batches, 3, 5):
+        cuts = np.flatnonzero(np.concatenate([[True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        a, b = [], []
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(comp)]):
+            own, at = np.unique(ids[x:y], return_index=True)
+            if len(own) > 1:
+                for p, q in _linked([np.frombuffer(blobs[x + k], np.uint64) for k in at]):
+                    a.append(int(own[p]))
+                    b.append(int(own[q]))
+        if a:
+            yield _edges(a, b)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ship(docs.sparkSession)
     kind = dict(rows.dtypes)["doc_id"]
     signed = cut(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, n_shingles long, set_id long, signature binary"))
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.min("signature").alias("signature"))
+    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.min("signature").alias("signature"))
     classes = cut(classes.withColumnRenamed("set_id", "id"))
 
     by_key = Window.partitionBy("key")
@@ -215,40 +287,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         b = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_close, "a long, b long")
 
-    def across(groups: DataFrame, among: DataFrame | None = None) -> DataFrame:
-        """Pairs within the distance in a bucket whose two groups differ."""
-        seen = shared.select("key", "id")
-        if among is not None:
-            seen = seen.join(among, "id", "left_semi")
-        seen = seen.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def across(groups: DataFrame) -> DataFrame:
+        """A forest of pairs within the distance in a bucket whose two groups differ."""
+        seen = shared.select("key", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         seen = seen.withColumn("x", F.min("component").over(by_key)).withColumn("y", F.max("component").over(by_key)).where("x < y").select("id", "key", "component")
         full = seen.join(classes.select("id", "n", "signature"), "id").select("key", "id", "component", "n", "signature")
-        return full.repartition("key").sortWithinPartitions("key").mapInArrow(_apart, "a long, b long").distinct()
+        return full.repartition("key").sortWithinPartitions("key").mapInArrow(_apart, "a long, b long")
 
     stars = cut(signed_pairs(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
-    loose = components(stars)
-    found = cut(stars.union(across(loose)).distinct())
-    wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    texts = wanted.join(classes.select("id", "text_hash"), "id").select("text_hash")
-    members = rows.select("text", "text_hash").join(texts.hint("shuffle_hash"), "text_hash", "left_semi").select("text")
-    members = members.mapInArrow(_sets, "id long, members binary").groupBy("id").agg(F.max("members").alias("members"))
-    members = cut(members)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a = members.select(F.col("id").alias("a"), F.col("members").alias("ma"))
-        b = members.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_confirm, "a long, b long, good boolean"))
-
-    tested = confirmed(found)
-    links = tested.where("good").select("a", "b")
-    groups = components(links)
-    failed = tested.where("not good").select("a", "b")
-    if not failed.isEmpty():
-        # what was one group by signatures alone may hold pairs that no step has compared
-        among = loose.join(failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct().join(loose, "node").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("id"))
-        more = across(groups, among).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(confirmed(more).where("good").select("a", "b"))
-        groups = components(links)
+    # a group by signatures alone: what a bucket's smallest class draws together
+    loose = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    near = components(cut(stars.union(across(loose))))
+
+    blocks = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own")))
+    tasks = near.join(blocks, "component").withColumn("own", own_block).withColumn("other", F.explode(others))
+    tasks = tasks.select(F.col("node").alias("id"), "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    wanted = near.select(F.col("node").alias("id")).join(classes.select("id", "one"), "id").select("one.text_hash", F.col("one.doc_id").alias("one_id"))
+    chosen = (rows["text_hash"] == wanted["text_hash"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])
+    members = cut(rows.join(wanted.hint("shuffle_hash"), chosen, "left_semi").select("text").mapInArrow(_sets, "id long, members binary"))
+    sent = members.join(tasks, "id").select("component", "i", "j", "id", "members")
+    links = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm, "a long, b long")
+    groups = components(cut(links))
 
     own = signed.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("group"))
     own = cut(own)

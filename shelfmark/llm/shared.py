@@ -87,6 +87,13 @@ def _thin(batches):
         yield pa.record_batch([pa.array([trees.root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], EDGE)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each b has one a, and no a is a b."""
+    ends = edges.select(F.col("b").alias("x"), F.lit(1).alias("n")).union(edges.select(F.col("a"), F.lit(0)))
+    by = ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    return by.where("n > 1 OR (n = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each id in `edges` (a, b) the smallest id it can reach.
 
@@ -96,17 +103,12 @@ def components(edges: DataFrame) -> DataFrame:
     round. Ids are not null. Rows may repeat; loops are ignored, so their ids are absent.
     """
     flat = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = cut(flat.mapInArrow(_thin, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    now = cut(flat.mapInArrow(_thin, "a long, b long").where("a <> b").distinct())
+    while not _is_stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        small = large.join(low, "u").where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         now = cut(small.distinct())
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a"), F.col("a")).distinct())
