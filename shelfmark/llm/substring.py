@@ -12,7 +12,7 @@ Texts are dealt to groups by hash. A group sends each distinct hash once to the
 bucket, however often it occurs, with two marks (aligned here, several here), so a common
 passage costs a bucket one entry a group. Entries are sorted and packed by difference.
 Buckets answer with the hashes that count, and the group's texts look them up; only hashes
-move, and texts are shuffled once. Confirmation uses 128 bits.
+move, and texts are shuffled once. Confirmation uses 96 bits.
 
 Null and empty texts have no words. Texts shorter than WINDOW words keep all of them. Rows
 that repeat a doc_id are texts of their own, so they remove one another.
@@ -21,6 +21,7 @@ that repeat a doc_id are texts of their own, so they remove one another.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +29,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import cut, partitions, ship
+from shelfmark.llm.shared import partitions, ship
 
 WINDOW = 35
+#: Bits of a block's hash that probing uses. A false hit costs one candidate, no more.
+PROBE_BITS = 44
 _ENTRY = "bucket int, grp int, hashes binary, more binary"
 
 
 def _marks(*flags: np.ndarray) -> bytes:
-    return b"".join(np.packbits(f).tobytes() for f in flags)
+    return zlib.compress(b"".join(np.packbits(f).tobytes() for f in flags), 1)
 
 
 def _unmark(blob: bytes, count: int, of: int) -> list[np.ndarray]:
     size = -(-count // 8)
+    blob = zlib.decompress(blob)
     return [np.unpackbits(np.frombuffer(blob, np.uint8, size, k * size), count=count).astype(bool) for k in range(of)]
 
 
-def _send(group: int, buckets: int, hashes: np.ndarray, more):
+def _blocks(hashes: np.ndarray, block: int) -> np.ndarray:
+    return tk.windows(hashes, block) >> np.uint64(64 - PROBE_BITS)
+
+
+def _send(group: int, buckets: int, bits: int, hashes: np.ndarray, more):
     """Entries for each bucket; `hashes` are sorted and distinct. more(a, b): marks of a run."""
     # a bucket is an equal span of the hashes, so each bucket's entries are a run
-    edges = (np.arange(1, buckets, dtype=np.uint64)) * np.uint64((1 << 64) // buckets)
+    edges = (np.arange(1, buckets, dtype=np.uint64)) * np.uint64((1 << bits) // buckets)
     cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
     full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pa.table([
@@ -71,7 +79,7 @@ def _probes(window: int, buckets: int):
             at = tk.inside(words.first, block)
             long_ = np.repeat(counts >= window, np.maximum(counts - block + 1, 0))
             place = at - np.repeat(words.first[:-1], np.maximum(counts - block + 1, 0))
-            hashes.append(tk.windows(words.hashes, block)[at[long_]])
+            hashes.append(_blocks(words.hashes, block)[at[long_]])
             aligned.append((place % block == 0)[long_])
         flat, index = _joined(hashes), _joined(aligned, bool)
         order = np.argsort(flat, kind="stable")
@@ -81,7 +89,7 @@ def _probes(window: int, buckets: int):
         begins = np.flatnonzero(new)
         several = np.diff([*begins, len(flat)]) > 1 if len(flat) else np.zeros(0, bool)
         index = np.add.reduceat(index, begins, dtype=np.int64) > 0 if len(flat) else index
-        return _send(key[0].as_py(), buckets, flat[new], lambda a, b: _marks(index[a:b], several[a:b]))
+        return _send(key[0].as_py(), buckets, PROBE_BITS, flat[new], lambda a, b: _marks(index[a:b], several[a:b]))
 
     return run
 
@@ -137,12 +145,12 @@ def _extend(window: int, buckets: int):
                 at = tk.inside(words.first, window)
                 if not len(at):
                     continue
-                hit = _member(tk.windows(words.hashes, block), hits)
+                hit = _member(_blocks(words.hashes, block), hits)
                 total = np.concatenate([[0], np.cumsum(hit)])
                 at = at[total[at + window - block + 1] > total[at]]  # a hit starts within the window and fits
                 one.append(tk.windows(words.hashes, window)[at])
-                two.append(tk.windows(words.hashes, window, "words2")[at])
-        h, h2 = _joined(one), _joined(two)
+                two.append((tk.windows(words.hashes, window, "words2")[at] >> np.uint64(32)).astype(np.uint32))
+        h, h2 = _joined(one), _joined(two, np.uint32)
         order = np.lexsort((h2, h))
         h, h2 = h[order], h2[order]
         new = np.ones(len(h), bool)
@@ -150,19 +158,19 @@ def _extend(window: int, buckets: int):
         begins = np.flatnonzero(new)
         several = np.diff([*begins, len(h)]) > 1 if len(h) else np.zeros(0, bool)
         h2 = h2[new]
-        return _send(key[0].as_py(), buckets, h[new], lambda a, b: h2[a:b].tobytes() + _marks(several[a:b]))
+        return _send(key[0].as_py(), buckets, 64, h[new], lambda a, b: h2[a:b].tobytes() + _marks(several[a:b]))
 
     return run
 
 
 def _confirm(key, entries):
-    """Of a bucket the windows that start in two places, by 128 bits."""
+    """Of a bucket the windows that start in two places, by 96 bits."""
     one, two, several, groups = [], [], [], []
     for group, blob, more in zip(*(entries.column(c).to_pylist() for c in ("grp", "hashes", "more"))):
         own = tk.unpack(blob)
         one.append(own)
-        two.append(np.frombuffer(more, np.uint64, len(own)))
-        several += _unmark(more[8 * len(own) :], len(own), 1)
+        two.append(np.frombuffer(more, np.uint32, len(own)))
+        several += _unmark(more[4 * len(own) :], len(own), 1)
         groups.append(np.full(len(own), group, np.int32))
     h, h2 = np.concatenate(one), np.concatenate(two)
     order = np.lexsort((h2, h))
@@ -238,9 +246,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     carried = ["_key", *(f"_keep_{c}" for c in keep)]
 
     entries = texts.groupBy("grp").applyInArrow(_probes(window, count), _ENTRY)
-    hits = cut(entries.groupBy("bucket").applyInArrow(_probe, "grp int, hits binary"))
+    hits = entries.groupBy("bucket").applyInArrow(_probe, "grp int, hits binary")
     entries = texts.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(_extend(window, count), _ENTRY)
-    repeats = cut(entries.groupBy("bucket").applyInArrow(_confirm, "grp int, hits binary"))
+    repeats = entries.groupBy("bucket").applyInArrow(_confirm, "grp int, hits binary")
     fields = [f"_key {kinds[key]}", *(f"_keep_{c} {kinds[c]}" for c in keep), "n_words long, n_removed long, n_spans long, kept_sha256 string"] + ["kept_text string"] * with_text
     out = texts.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(_remove(window, with_text, carried), ", ".join(fields))
     return out.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "n_words", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)

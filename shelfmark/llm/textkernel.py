@@ -8,6 +8,7 @@ mixed, because the low bits of such sums are weak. Nothing depends on Python's o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,11 +151,24 @@ def word_slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, in
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted uint64 values as byte planes of their differences, which Spark's codec shrinks."""
-    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted uint64 values as byte planes of their differences; planes of small values,
+    which the differences of dense values have, are deflated."""
+    planes = np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    parts = []
+    for plane in planes:
+        most = int(plane.max()) if len(plane) else 0
+        small = zlib.compress(plane.tobytes(), 1) if 0 < most < 64 else b""
+        parts.append(b"" if not most else small if small and len(small) < len(plane) else plane.tobytes())
+    return np.array([len(values), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
 
 def unpack(blob: bytes) -> np.ndarray:
     """The values of :func:`pack`."""
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    count, *sizes = np.frombuffer(blob, "<u4", 9).tolist()
+    planes, at = np.zeros((8, count), np.uint8), 36
+    for plane, size in zip(planes, sizes):
+        if size:
+            body = blob[at : at + size]
+            plane[:] = np.frombuffer(body if size == count else zlib.decompress(body), np.uint8)
+        at += size
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
