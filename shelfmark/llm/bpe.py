@@ -32,6 +32,26 @@ REMEMBERED = 250_000
 # The split that byte-level BPE files assume, a fixed value of the format.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+# Letters and numbers that Unicode has had only since version 17, which the
+# library's tables don't know and so treat as other characters.
+NEW_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEW_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _wide_word() -> str:
+    """WORD with those characters taken out of letters and numbers."""
+
+    def chars(spans: str) -> str:
+        return "".join("-".join(chr(int(x, 16)) for x in span.split("-")) for span in spans.split())
+
+    letter, number = (f"[\\p{{{kind}}}--[{chars(spans)}]]" for kind, spans in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)))
+    other = f"[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]|[{chars(NEW_LETTERS)}{chars(NEW_NUMBERS)}]"
+    return WORD.replace(r"[^\p{White_Space}\p{L}\p{N}]+", f"(?:{other})+").replace(r" ?\p{L}+", f" ?{letter}+").replace(r" ?\p{N}+", f" ?{number}+")
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in such files."""
@@ -61,7 +81,15 @@ class Codec(dict):
         self.bytes_of |= {i: s.encode() for s, i in special.items()}
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.words = regex.compile(WORD).findall
+        self.latin_words = regex.compile(WORD).findall
+        self.wide_words = regex.compile(_wide_word(), regex.V1).findall
+
+    def words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide_words(text)
+        return self.latin_words(text)
 
     def __missing__(self, word: str) -> bytes:
         data = word.encode()
