@@ -93,12 +93,12 @@ def learn_vectors(hashes: np.ndarray, neighbours: np.ndarray, first: np.ndarray,
     edge = np.zeros(len(hashes) + 1, bool)
     edge[first] = True
     own = place[back]
-    index = index_vectors(neighbours)
+    known = np.flatnonzero(own >= 0)
     for shift, turn in ((1, 1), (-1, -1)):
-        here = np.flatnonzero((own[1:] if shift == 1 else own[:-1]) >= 0)
-        at = here + (shift == 1)
-        at = at[~edge[at if shift == 1 else at + 1]]
-        np.add.at(rows, own[at], np.roll(index[at - shift], turn, axis=1))
+        at = known[~edge[known if shift == 1 else known + 1]]
+        for k in range(0, len(at), 100_000):
+            some = at[k : k + 100_000]
+            np.add.at(rows, own[some], np.roll(index_vectors(neighbours[some - shift]), turn, axis=1))
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return Vectors(keys[order], rows / np.maximum(norm, 1e-9))
 
@@ -146,10 +146,10 @@ def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, hidden: int = 24
         raise ValueError("no labelled text to learn from")
     rng = np.random.default_rng(seed)
     column = pa.array(texts, pa.string())
-    data, offsets = tk.buffers(column)
-    words = tk.split(data, offsets, lower=True)
-    form = shapes(words)
-    model = Model(learn_vectors(words.hashes, form, words.first, WORDS), learn_vectors(form, form, words.first, SHAPES), np.zeros(1), np.ones(1), [], 1.0)
+    parts = [(w.hashes, shapes(w), np.diff(w.first)) for _, _, w in tk.word_slices(column, lower=True)]
+    hashes, form, counts = (np.concatenate(x) for x in zip(*parts))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    model = Model(learn_vectors(hashes, form, first, WORDS), learn_vectors(form, form, first, SHAPES), np.zeros(1), np.ones(1), [], 1.0)
     x = np.concatenate([model.pool(w) for _, _, w in tk.word_slices(column, lower=True)])
     apart = rng.random(len(x)) < 0.2
     if apart.all() or not apart.any():
