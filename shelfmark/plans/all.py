@@ -1,3 +1,3 @@
 """Importing this registers every query."""
 
-from shelfmark.plans import flows, lifecycle, relational, scalar, search  # noqa: F401
+from shelfmark.plans import flows, lifecycle, mining, relational, scalar, search  # noqa: F401

@@ -196,3 +196,25 @@ def test_enumerate_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"1")
     got = [r.relative_path for r in enumerate_files(spark, str(tmp_path), extra=("txt",), exclude=("c/*z",)).collect()]
     assert got == ["a/x.JPG", "b/y.txt"]
+
+
+@pytest.mark.parametrize("text,found", [("Red Bull and bull", ["red bull"]), ("apple pie", []), ("an Apple a day", ["apple"]), ("coca cola zero, Cola", ["coca cola"])])
+def test_brands(text, found):
+    from shelfmark.functions.mining import find_brands
+
+    assert find_brands(text, ["red bull", "apple", "coca cola", "bull market"], frozenset(["apple"])) == found
+
+
+@pytest.mark.parametrize("text,found", [("The Smith Wedding. Bob", ["Smith Wedding"]), ("in The Garden", ["Garden"]), ("NASA Logo Of The", ["Logo"]), ("", [])])
+def test_names(text, found):
+    from shelfmark.functions.mining import find_names
+
+    assert find_names(text, frozenset(["the", "of", "in"])) == found
+
+
+def test_words_become_a_vector():
+    from shelfmark.functions.mining import embed_grid, render_words
+
+    grid, part = render_words("oceans at night")
+    assert part == pytest.approx(2 / 3) and len(embed_grid(grid)) == 65
+    assert render_words("")[1] == 0.0
