@@ -218,3 +218,17 @@ def test_words_become_a_vector():
     grid, part = render_words("oceans at night")
     assert part == pytest.approx(2 / 3) and len(embed_grid(grid)) == 65
     assert render_words("")[1] == 0.0
+
+
+def test_engines_fall_back_and_later_ones_win(spark):
+    from shelfmark.functions.engines import Engine, Registry
+
+    lengths = Engine("lengths", "1", 0.5, lambda s: s.str.len().fillna(0).astype(int))
+    registry = Registry(lengths)
+    rows = spark.createDataFrame([("abc",), (None,)], "t string")
+    first = rows.select(registry.analyse("caption", F.col("t"), "long").alias("r")).select("r.*").collect()
+    assert [(r.value, r.model_id) for r in first] == [(3, "lengths"), (0, "lengths")]
+    registry.register("caption", Engine("a", "1", 0.9, lambda s: s.fillna("") + "!"))
+    registry.register("caption", Engine("b", "2", 0.9, lambda s: s.fillna("") + "?"))
+    again = rows.select(registry.analyse("caption", F.col("t"), "string").alias("r")).select("r.*").collect()
+    assert [(r.value, r.model_version) for r in again] == [("abc?", "2"), ("?", "2")]
