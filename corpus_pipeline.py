@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, langid, minhash, mixing, substring
+from shelfmark.llm.shared import folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text's mean word posterior below which its language counts as unknown.
@@ -19,8 +20,13 @@ LEAST_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; text without a letter and undecided text goes."""
+    """Documents whose language is told; text without a letter and undecided text goes.
+
+    Where no document has a language to learn from, only text without a letter goes.
+    """
     model = langid.fit(*langid.sample(docs))
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     told = langid.predict(docs, model, keep=COLUMNS[1:])
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -66,8 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, with each result kept in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    base = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -146,6 +146,8 @@ class Model:
         """Language and score of each text of a column."""
         names: list[str] = []
         scores = np.zeros(len(column))
+        if not self.labels:
+            return ["und"] * len(column), scores
         for i, j, words in tk.word_slices(column, lower=True):
             counts = np.diff(words.first)
             total = np.zeros((len(words.hashes) + 1, len(self.labels)))
@@ -165,12 +167,15 @@ class Model:
 def fit(texts: list[str], langs: list[str], chains: int = 3000, steps: int = 48, rounds: int = 40, seed: int = 7) -> Model:
     """A model from labelled texts, by maximum likelihood with Adam on code-switched chains."""
     labels = sorted(set(langs))
+    none = Model(labels, np.zeros((1 << TABLE_BITS, len(labels)), np.float32), np.zeros((len(labels),) * 2, np.float32), np.zeros(len(labels), np.float32))
     if not labels:
-        raise ValueError("no labelled text to learn from")
+        return none
     rng = np.random.default_rng(seed)
     data, offsets = tk.buffers(pa.array(texts, pa.string()))
     words = tk.split(data, offsets, lower=True)
     of_text = np.array([labels.index(x) for x in langs])
+    if not len(words.hashes):
+        return none
     _, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     ids, first = _features(words.data, words.starts[at], words.ends[at], words.hashes[at])
     owner = np.repeat(np.arange(len(at)), np.diff([*first, len(ids)]))
@@ -178,7 +183,7 @@ def fit(texts: list[str], langs: list[str], chains: int = 3000, steps: int = 48,
     pools = [np.flatnonzero(lang_of == k) for k in range(len(labels))]
     usable = [k for k, p in enumerate(pools) if len(p)]
     if not usable:
-        raise ValueError("no labelled text to learn from")
+        return none
     word, gold = np.empty((chains, steps), np.int64), np.empty((chains, steps), np.int64)
     for c in range(chains):
         t = 0

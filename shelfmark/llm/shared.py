@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that all executors share, and read from there.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set, as in tests
-    on one machine, a temporary one is used.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only where
+    none is set, as in tests on one machine, a temporary one is made and set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="shelfmark-"))
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that all executors share, and read from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from shelfmark.llm import langid, quality
 from shelfmark.llm import textkernel as tk
@@ -87,11 +86,15 @@ def test_quality_held_out(spark, odd_docs):
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in odd)
 
 
-def test_nothing_to_learn_from(spark, no_docs):
-    with pytest.raises(ValueError):
-        langid.fit(*langid.sample(no_docs))
-    with pytest.raises(ValueError):
-        quality.fit(*quality.sample(no_docs, spark.createDataFrame([], "doc_id long, quality int")))
+def test_nothing_to_learn_from(spark, odd_docs, no_docs):
+    model = langid.fit(*langid.sample(no_docs))
+    assert {(r.lang_pred, r.score) for r in langid.predict(odd_docs, model).collect()} == {("und", 0.0)}
+    assert langid.predict(no_docs, model).collect() == []
+    blank = langid.fit(["", "  "], ["en", "fr"])
+    assert blank.predict(pa.array(["abc", "1"]))[0] == ["en", "und"]
+    flat = quality.fit(*quality.sample(no_docs, spark.createDataFrame([], "doc_id long, quality int")))
+    assert {(r.score, r.predicted) for r in quality.score(odd_docs, flat).collect()} == {(0.5, 0)}
+    assert 0 <= quality.fit(["", ""], np.array([0.0, 1.0]), np.ones(2)).score(pa.array(["", "a b"]))[1] <= 1
 
 
 def test_words_are_the_pattern(odd_texts):

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -24,3 +25,17 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_is_the_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert set(rows.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and rows.count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_and_empty_documents(spark, sf_dir, odd_docs, no_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, no_docs, sf_dir).collect() == []
+    rows = stage(spark, odd_docs, sf_dir).collect()
+    lettered = [r for r in odd_docs.collect() if any(c.isalpha() for c in r.text or "")]
+    if name == "language_id":
+        assert len(rows) <= len(lettered)
+    elif name == "minhash_near_dedup":
+        assert len([r for r in rows if len(r.text or "") > 100_000]) == 1
+    elif name in ("substring_dedup", "bpe"):
+        assert len(rows) == odd_docs.count()
