@@ -178,7 +178,7 @@ def test_greedy_clusters_follow_key_order(spark):
 def test_top_k_is_planned_as_one(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     plan = V.top_k(rows, [1.0] * 64, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+    assert "TakeOrderedAndProject" in plan and "MapInArrow" in plan and "CartesianProduct" not in plan
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
