@@ -177,8 +177,6 @@ def fit(texts: list[str], langs: list[str], chains: int = 3000, steps: int = 48,
     if not len(words.hashes):
         return none
     _, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-    ids, first = _features(words.data, words.starts[at], words.ends[at], words.hashes[at])
-    owner = np.repeat(np.arange(len(at)), np.diff([*first, len(ids)]))
     lang_of = np.repeat(of_text, np.diff(words.first))
     pools = [np.flatnonzero(lang_of == k) for k in range(len(labels))]
     usable = [k for k, p in enumerate(pools) if len(p)]
@@ -194,6 +192,10 @@ def fit(texts: list[str], langs: list[str], chains: int = 3000, steps: int = 48,
             take = pools[k][(s + np.arange(n)) % len(pools[k])]
             word[c, t : t + n], gold[c, t : t + n] = back[take], k
             t += n
+    used, word = np.unique(word, return_inverse=True)
+    at, word = at[used], word.reshape(chains, steps)
+    ids, first = _features(words.data, words.starts[at], words.ends[at], words.hashes[at])
+    owner = np.repeat(np.arange(len(at)), np.diff([*first, len(ids)]))
     L, size = len(labels), 1 << TABLE_BITS
     w, moves, start = np.zeros((size, L)), np.zeros((L, L)), np.zeros(L)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, moves, start)]
