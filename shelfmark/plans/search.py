@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from shelfmark.functions import vectors as V
 from shelfmark.operators import rollups as R
 from shelfmark.operators import search as S
+from shelfmark.operators import vector_index
 from shelfmark.plans.registry import query
 
 TERMS = ["the", "und", "erthth"]
@@ -211,3 +212,9 @@ def cluster_snapshot(c):
     saved = c.faces.groupBy("cluster_id").agg(F.to_json(F.array_sort(F.collect_list(F.array("face_id", "cluster_id")))).alias("j"))
     back = saved.select(F.explode(F.from_json("j", "array<array<bigint>>")).alias("p"))
     return back.agg(F.count("*").alias("n"), F.sum(F.col("p")[0] * 100 + F.col("p")[1]).alias("mark"))
+
+
+@query("vector_index_search", f"WITH q AS (SELECT vec_id, {_Q8} AS q FROM embeddings), s AS (SELECT o.vec_id::INT AS query, q.vec_id, round(list_dot_product(q.q, o.q) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(o.q, o.q))), 6) AS score FROM q, q o WHERE o.vec_id < 8) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+def vector_index_search(c):
+    rows = c.table("embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()
+    return vector_index.search(vector_index.build(c.table("embeddings")), [[float(x) for x in r[0]] for r in rows], 10)
