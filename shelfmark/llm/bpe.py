@@ -27,7 +27,9 @@ from shelfmark.llm.shared import ship
 #: Bytes of a word up to which a scan for the minimum is used.
 SCAN_LIMIT = 256
 #: Words that a worker remembers, about 100 bytes each.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
+#: Rows of a batch that is given back.
+ROWS = 500
 
 # The split that byte-level BPE files assume, a fixed value of the format.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -171,7 +173,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             keep, counts, shas, back = [], [], [], []
             for value in batch.column(1):
                 coded = own.encode(value.as_py() or "")

@@ -26,6 +26,8 @@ GREY = b"\x08\x00\x00\x00\x00"
 #: Pixels in a row of a payload's image, and the unit that payloads are filled to.
 WIDTH = 64
 SIDE, LOW = 32, 8
+#: Rows of a batch that is given back.
+ROWS = 500
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -148,7 +150,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", media
     fields = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * media
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             data, offsets = buffers(batch.column(1))
             out: list[list] = [[] for _ in range(8)]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -21,7 +21,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at a time; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASES = {"bytes": 0x9E3779B97F4A7C15, "words": 0xD1342543DE82EF95, "words2": 0xC2B2AE3D27D4EB4F}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
