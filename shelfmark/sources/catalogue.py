@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.shipping import ship
+
 #: Files that the derived side tables spread over.
 SPREAD = 1000
 
@@ -21,6 +23,7 @@ SPREAD = 1000
 class Catalogue:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
