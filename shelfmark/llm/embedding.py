@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import Forest, components, cut, ship
+from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship
 
 BAND, BANDS = 16, 96
 #: Rotations whose bits serve the estimate, and standard errors of its bound.
 ESTIMATE, ERRORS = 4, 6.0
 #: Pairs compared at a time.
 BLOCK = 32_768
+#: Classes of a bucket that are compared with one another, or with as many, in one task.
+BUCKET = 4096
 
 _ROTATIONS: dict[int, np.ndarray] = {}
 
@@ -103,16 +105,18 @@ def _keys(batches):
 
 def _links(threshold: float):
     def run(batches):
-        """Rows come by key. Holds the rows of one key besides a batch."""
+        """Rows come by key and blocks. Holds the rows of one pair of blocks besides a batch."""
 
-        def compare(key, band, ids, n, dim, unit, code, factor):
+        def compare(key, left, right, block, band, ids, n, dim, unit, code, factor):
+            starts = begins(key, left, right)
+            bucket = np.repeat(np.arange(len(starts)), np.diff([*starts, len(key)]))
             forest, counts_of, counts = Forest(), [], []
             codes = np.frombuffer(b"".join(code), np.uint16).reshape(-1, BANDS)
             for d in np.unique(dim):
                 own = np.flatnonzero(dim == d)
                 x = np.frombuffer(b"".join(unit[own]), np.float64).reshape(-1, d)
                 turned = x @ rotations(int(d))[:, : ESTIMATE * d]
-                k, m = key[own], len(own)
+                k, m = bucket[own], len(own)
                 live, gap = np.arange(m), 0
                 while True:
                     gap += 1
@@ -124,7 +128,8 @@ def _links(threshold: float):
                         i = live[s : s + BLOCK]
                         j = i + gap
                         first = (codes[own[i]] == codes[own[j]]).argmax(axis=1)
-                        mine = first == band[own[i]]
+                        meet = (left[own[i]] == right[own[i]]) | (block[own[i]] != block[own[j]])
+                        mine = (first == band[own[i]]) & meet
                         i, j = i[mine], j[mine]
                         value, bound = estimate(np.where(turned[i] > 0, 1.0, -1.0), factor[own[i]], turned[j])
                         open_ = value + bound >= threshold
@@ -142,20 +147,8 @@ def _links(threshold: float):
                 up = np.array([forest.root(x) for x in who.tolist()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(up), pa.array(total)], ["a", "b", "n"])
 
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            other = np.flatnonzero(now[0] != now[0][-1])
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield from compare(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield from compare(*held)
+        for part in runs(batches, 3, 11):
+            yield from compare(*part)
 
     return run
 
@@ -179,8 +172,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     keyed = coded.select("id", whole.alias("group"), "code").mapInArrow(_keys, "key long, band int, id long")
     by_key = Window.partitionBy("key")
     shared = keyed.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high").select("key", "band", "id")
-    full = shared.join(coded, "id").select("key", "band", "id", "n", "dim", "unit", "code", "factor")
-    found = cut(full.repartition("key").sortWithinPartitions("key").mapInArrow(_links(threshold), "a long, b long, n long"))
+    shared = blocked(shared, ["key"], "id", BUCKET)
+    full = shared.join(coded, "id").select("key", "i", "j", "own", "band", "id", "n", "dim", "unit", "code", "factor")
+    found = cut(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links(threshold), "a long, b long, n long"))
     groups = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("n").alias("links"))
     info = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))

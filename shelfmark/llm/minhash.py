@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import Forest, components, cut, ship
+from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship
 
 WORDS = 5
 POSITIONS, BITS, CHUNK = 68, 16, 4
@@ -39,6 +39,8 @@ DISTANCE = 33
 assert DISTANCE // CHUNKS == 1
 #: Classes of a candidate group that are compared with one another, or with as many, in one task.
 BLOCK = 512
+#: The same for the classes of a bucket, whose signatures are compared.
+BUCKET = 4096
 #: Buckets from this size on are compared row by row, smaller ones many at a time.
 LARGE = 64
 
@@ -137,30 +139,6 @@ def _close(batches):
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], ["a", "b"])
 
 
-def _runs(batches, keys: int, columns: int):
-    """Arrays of `columns` columns that hold whole runs of equal values in the first `keys`.
-
-    Rows come in order of those. Holds one run besides a batch.
-    """
-    held = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        other = np.zeros(len(now[0]), bool)
-        for x in now[:keys]:
-            other |= x != x[-1]
-        at = np.flatnonzero(other)
-        last = int(at[-1]) + 1 if len(at) else 0
-        if last:
-            yield [x[:last] for x in now]
-        held = [x[last:] for x in now]
-    if held is not None:
-        yield held
-
-
 def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -168,15 +146,16 @@ def _edges(a, b) -> pa.RecordBatch:
 def _apart(batches):
     """A spanning forest of the pairs within DISTANCE that share a key and differ in component.
 
-    Rows come by key: key, id, component, n, signature.
+    Rows come by key and blocks: key, i, j, id, component, n, signature.
     """
     forest = Forest()
-    for key, ids, comp, n, raw in _runs(batches, 1, 5):
+    for key, left, right, ids, comp, n, raw in runs(batches, 3, 7):
         sig = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, POSITIONS)
         found: list[tuple[int, int]] = []
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff([*begins, len(key)])
-        for a, size in zip(begins[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist()):
+        first = begins(key, left, right)
+        sizes = np.diff([*first, len(key)])
+        bucket = np.repeat(np.arange(len(first)), sizes)
+        for a, size in zip(first[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist()):
             label = np.unique(comp[a : a + size], return_inverse=True)[1]
             for i in range(size - 1):
                 if (label == label[0]).all():
@@ -192,7 +171,7 @@ def _apart(batches):
         while len(live):
             gap += 1
             live = live[live + gap < len(key)]
-            live = live[key[live] == key[live + gap]]
+            live = live[bucket[live] == bucket[live + gap]]
             two = live[comp[live] != comp[live + gap]]
             two = two[_near(sig[two], sig[two + gap], n[two], n[two + gap])]
             found += zip(ids[two].tolist(), ids[two + gap].tolist())
@@ -251,8 +230,8 @@ def _confirm(batches):
 
     Rows come by group and blocks: component, i, j, id, members.
     """
-    for comp, i, j, ids, blobs in _runs(batches, 3, 5):
-        cuts = np.flatnonzero(np.concatenate([[True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    for comp, i, j, ids, blobs in runs(batches, 3, 5):
+        cuts = begins(comp, i, j)
         a, b = [], []
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(comp)]):
             own, at = np.unique(ids[x:y], return_index=True)
@@ -291,19 +270,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         """A forest of pairs within the distance in a bucket whose two groups differ."""
         seen = shared.select("key", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         seen = seen.withColumn("x", F.min("component").over(by_key)).withColumn("y", F.max("component").over(by_key)).where("x < y").select("id", "key", "component")
-        full = seen.join(classes.select("id", "n", "signature"), "id").select("key", "id", "component", "n", "signature")
-        return full.repartition("key").sortWithinPartitions("key").mapInArrow(_apart, "a long, b long")
+        seen = blocked(seen, ["key"], "id", BUCKET)
+        full = seen.join(classes.select("id", "n", "signature"), "id").select("key", "i", "j", "id", "component", "n", "signature")
+        return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_apart, "a long, b long")
 
     stars = cut(signed_pairs(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
     # a group by signatures alone: what a bucket's smallest class draws together
     loose = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     near = components(cut(stars.union(across(loose))))
 
-    blocks = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own")))
-    tasks = near.join(blocks, "component").withColumn("own", own_block).withColumn("other", F.explode(others))
-    tasks = tasks.select(F.col("node").alias("id"), "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tasks = blocked(near, ["component"], "node", BLOCK).select(F.col("node").alias("id"), "component", "i", "j")
     wanted = near.select(F.col("node").alias("id")).join(classes.select("id", "one"), "id").select("one.text_hash", F.col("one.doc_id").alias("one_id"))
     chosen = (rows["text_hash"] == wanted["text_hash"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])
     members = cut(rows.join(wanted.hint("shuffle_hash"), chosen, "left_semi").select("text").mapInArrow(_sets, "id long, members binary"))

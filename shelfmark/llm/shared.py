@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.shipping import ship  # noqa: F401  operators take it from here
 
@@ -31,6 +33,54 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocked(rows: DataFrame, by: list[str], key: str, size: int) -> DataFrame:
+    """`rows` dealt out so that every two rows of a group meet and no task holds a large group.
+
+    Adds own, i and j. A group of up to `size` rows is the task (0, 0); a larger one is
+    split by a hash of `key` into blocks of about that size, and a row of block b goes to
+    the tasks of b with each block, itself included. Rows of the same block meet in each of
+    their tasks; what counts pairs counts them where i = j.
+    """
+    n = F.count("*").over(Window.partitionBy(*by))
+    rows = rows.withColumn("_n", n).withColumn("_n", F.ceil(F.col("_n") / size).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_n", "_other")
+
+
+def runs(batches, keys: int, columns: int):
+    """Arrays of `columns` columns that hold whole runs of equal values in the first `keys`.
+
+    Rows come in order of those. Holds one run besides a batch.
+    """
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        other = np.zeros(len(now[0]), bool)
+        for x in now[:keys]:
+            other |= x != x[-1]
+        at = np.flatnonzero(other)
+        last = int(at[-1]) + 1 if len(at) else 0
+        if last:
+            yield [x[:last] for x in now]
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield held
+
+
+def begins(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 class Forest:
     """Union-find over 64-bit ids; the smallest id of a tree is its root."""
 

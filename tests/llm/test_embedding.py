@@ -50,6 +50,13 @@ def test_matches_brute_force(spark):
     assert sum(n > 0 for n, _, _ in want.values()) > 100
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BUCKET", 2)
+    vectors = table(spark)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors).collect()}
+    assert got == brute(vectors.collect())
+
+
 def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, 64))

@@ -35,6 +35,7 @@ def test_matches_brute_force(copied):
 def test_large_groups_in_blocks(copied, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "LARGE", 4)
+    monkeypatch.setattr(minhash, "BUCKET", 3)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(copied).collect()}
     assert got == {k: v[1] for k, v in brute(copied.collect()).items()}
 
@@ -50,8 +51,8 @@ def test_large_buckets_row_by_row():
         sig = base.copy()
         at = rng.permutation(len(sig))[: 10 if i < 150 else 60]
         sig[at] = rng.integers(0, 1 << 16, len(at))
-        rows.append((5, i, i, 100, sig.tobytes()))
-    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(5)], ["key", "id", "component", "n", "signature"])
+        rows.append((5, 0, 0, i, i, 100, sig.tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(7)], ["key", "i", "j", "id", "component", "n", "signature"])
     edges = [(a, b) for out in minhash._apart([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert len(edges) == 149 and all(b < 150 for _, b in edges)
 
