@@ -30,13 +30,13 @@ def brand_detect(c):
 
 @query("name_detect")
 def name_detect(c):
-    found = M.names(("the", "of", "and", "der", "die", "la", "le", "el"))(F.substring("text", 1, 2000))
+    found = M.names(("the", "of", "and", "der", "die", "la", "le", "el"))(F.col("text"))
     return c.table("documents").select("doc_id", F.explode(found).alias("name"))
 
 
 @query("name_scan")
 def name_scan(c):
-    return name_detect(c).withColumn("tag", T.to_tag(F.col("name"))).groupBy("tag").agg(F.count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "tag").limit(500)
+    return name_detect(c).withColumn("tag", T.to_tag(F.col("name"))).groupBy("tag").agg(F.count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "tag")
 
 
 @query("canonical", "SELECT person_id, replace(lower(name), ' ', '-') || '-and-co' AS tag FROM people")
