@@ -27,7 +27,7 @@ def stream_rate(c):
 
 @query("stream_enqueue", "SELECT DISTINCT queue_key FROM queue")
 def stream_enqueue(c):
-    return flows.run_append(flows.first_of_each(_stream(c), "queue_key").select("queue_key"), flows.shared_folder(c.spark))
+    return flows.run_distinct(_stream(c), flows.shared_folder(c.spark), "queue_key")
 
 
 @query("run_loop", "SELECT file_id, state FROM (SELECT item_id AS file_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'complete' END AS state FROM queue JOIN captures ON file_id = item_id)")

@@ -69,6 +69,25 @@ def run_batches(stream: DataFrame, folder: str, process: Callable[[DataFrame], D
     return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
+def run_distinct(stream: DataFrame, folder: str, key: str) -> DataFrame:
+    """Each key of a stream once, however late or far apart its rows come.
+
+    A batch adds the keys that no earlier batch has written; its folder is overwritten when
+    it is run again, and later folders don't count, so a retry adds nothing.
+    """
+    spark, schema = stream.sparkSession, stream.select(key).schema
+
+    def add(df: DataFrame, i: int) -> None:
+        new = df.select(key).dropDuplicates()
+        if i:
+            old = spark.read.schema(schema).parquet(*[f"{folder}/out/batch={k}" for k in range(i)])
+            new = new.join(old, new[key].eqNullSafe(old[key]), "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+
+    _watch(spark, stream.writeStream.foreachBatch(add), folder)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 def sessions(stream: DataFrame, gap: str = "10 hours", least: int = 5, late: str = "1 hour") -> DataFrame:
     """Sessions by owner of a stream with `ts`: owner, n, first_us, last_us."""
     grouped = stream.withWatermark("ts", late).groupBy("owner", F.session_window("ts", gap))
@@ -81,11 +100,6 @@ def rates(stream: DataFrame, window: str = "1 day", slide: str = "12 hours") ->
     return stream.groupBy(F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros(F.col("w.start")).alias("start_us"), "n")
 
 
-def first_of_each(stream: DataFrame, key: str, late: str = "40 days") -> DataFrame:
-    """The first row of each key within the watermark; state ends with it."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-
-
 class Heartbeat(StreamingQueryListener):
     """Keeps one line of JSON for each batch, as a progress log has them."""
 
