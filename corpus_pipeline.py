@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.llm import bpe, langid, minhash, mixing, substring
 from shelfmark.llm.shared import folder
@@ -32,9 +33,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates: the smallest doc_id, then text hash; equal rows count once."""
+    row = F.xxhash64("text_hash", "doc_id").alias("row")
+    one = minhash.representatives(docs).select("text_hash", row)
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).select("*", row)
+    found = rows.join(one.hint("shuffle_hash"), ["text_hash", "row"], "left_semi")
+    copies = Window.partitionBy("text_hash", "row").orderBy("lang", "source", "n_chars")
+    return found.withColumn("place", F.row_number().over(copies)).where("place = 1").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,8 +243,8 @@ def _confirm(batches):
             yield _edges(a, b)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: key, n_shingles, component_id, kept.
+def _grouped(docs: DataFrame, key: str, text: str, *also: str) -> DataFrame:
+    """One row per row of `docs`: doc_id, `also` (text_hash), n_shingles, and the group, null without a shingle.
 
     Shuffles: the keys once (16 bytes each, POSITIONS a class), texts once for the classes
     that have a candidate, and small tables of classes and links. No bucket is cut off.
@@ -287,9 +287,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm, "a long, b long")
     groups = components(cut(links))
 
-    own = signed.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("group"))
-    own = cut(own)
+    own = signed.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", *also, "n_shingles", F.coalesce("component", "set_id").alias("group"))
+    return cut(own)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of `docs`: key, n_shingles, component_id, kept."""
+    own = _grouped(docs, key, text)
     least = own.where("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = own.join(least, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash) of one text of each group: of the smallest key, nulls last, then by hash.
+
+    A text without a shingle has only those rows in its group that have its key and hash.
+    """
+    own = _grouped(docs, key, text, "text_hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    of_groups = own.where("`group` is not null").groupBy("group").agg(first).select("first.doc_id", "first.text_hash")
+    alone = own.where("`group` is null").select("doc_id", "text_hash").distinct()
+    return of_groups.union(alone).select(F.col("doc_id").alias(key), "text_hash")
