@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shelfmark.llm.shared import ship
+from shelfmark.llm.shared import ship, tidy
 
 #: Bytes of a word up to which a scan for the minimum is used.
 SCAN_LIMIT = 256
@@ -188,4 +188,4 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                 columns, names = [*columns, pa.array(keep, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(key, text).mapInArrow(run, fields)
+    return docs.select(key, text).mapInArrow(tidy(run), fields)

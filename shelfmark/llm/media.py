@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shelfmark.llm.textkernel import buffers
-from shelfmark.llm.shared import ship
+from shelfmark.llm.shared import ship, tidy
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -168,4 +168,4 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", media
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))]
             yield pa.RecordBatch.from_arrays(columns[: 8 + media], names[: 8 + media])
 
-    return docs.select(key, text).mapInArrow(run, fields)
+    return docs.select(key, text).mapInArrow(tidy(run), fields)

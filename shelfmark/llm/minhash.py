@@ -17,8 +17,9 @@ sets there, and again a forest leaves. Its components are those of all links.
 
 Words are split and A-Z lower-cased as in :mod:`textkernel`; a text of fewer words than a
 shingle is one shingle; null and empty texts have no shingles and link with nothing. Sets
-and classes are told apart by 64-bit hashes. Rows that repeat a doc_id are rows of their
-own; a component's id is its smallest doc_id, nulls aside.
+are told apart by 128 bits, from two independent hashes of each word, and shingles within
+a pair of sets by 64. Rows that repeat a doc_id are rows of their own; a component's id is
+its smallest doc_id, nulls aside. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship
+from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship, tidy
 
 WORDS = 5
 POSITIONS, BITS, CHUNK = 68, 16, 4
@@ -49,56 +50,76 @@ _XOR = _rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: tk.Words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, flat, and where each text's begin."""
+def shingles(words: tk.Words, size: int = WORDS, both: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each text, flat, where each text's begin and, with
+    `both`, an independent hash of each of them."""
     counts = np.diff(words.first)
     n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(n)])
-    flat = np.zeros(int(first[-1]), np.uint64)
     full = counts >= size
-    flat[tk.ranges(first[:-1][full], n[full])] = tk.windows(words.hashes, size)[tk.inside(words.first, size)]
-    for short in range(1, size):
-        these = np.flatnonzero(counts == short)
-        if len(these):
-            flat[first[these]] = tk.windows(words.hashes, short)[words.first[these]]
+
+    def hashed(hashes: np.ndarray, seed: int) -> np.ndarray:
+        flat = np.zeros(int(first[-1]), np.uint64)
+        flat[tk.ranges(first[:-1][full], n[full])] = tk.windows(hashes, size, seed)[tk.inside(words.first, size)]
+        for short in range(1, size):
+            these = np.flatnonzero(counts == short)
+            if len(these):
+                at = tk.ranges(words.first[these], np.full(len(these), short))
+                flat[first[these]] = tk.windows(hashes[at], short, seed)[::short]
+        return flat
+
+    flat, more = hashed(words.hashes, 0), hashed(words.second(), 1) if both else None
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        flat[a:b].sort()
+        if both:
+            order = np.argsort(flat[a:b])
+            flat[a:b], more[a:b] = flat[a:b][order], more[a:b][order]
+        else:
+            flat[a:b].sort()
     new = np.ones(len(flat), bool)
     new[1:] = flat[1:] != flat[:-1]
     new[first[:-1][n > 0]] = True
     before = np.concatenate([[0], np.cumsum(new)])
-    return flat[new], before[first]
+    return (flat[new], before[first], more[new]) if both else (flat[new], before[first])
 
 
 def _ids(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One 64-bit id for each set, 0 for an empty one."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    n = np.diff(first).astype(np.uint64)
-    return np.where(n > 0, tk.mix(total[first[1:]] - total[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)), 0).view(np.int64)
+    out = np.zeros(len(first) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        n = np.diff(first)[full].astype(np.uint64)
+        total = np.add.reduceat(tk.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), first[full])
+        out[full] = tk.mix(total + n * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
 
 
 def signatures(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(non-empty sets, POSITIONS) values of BITS bits."""
-    begins = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(begins), POSITIONS), np.uint16)
-    if len(begins):
+    """(non-empty sets, POSITIONS) values of BITS bits; made in blocks of shingles."""
+    starts = first[:-1][np.diff(first) > 0]
+    least = np.full((POSITIONS, len(starts)), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(flat), tk.BLOCK_WORDS):
+        b = min(a + tk.BLOCK_WORDS, len(flat))
+        i, j = int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b))
+        at = np.maximum(starts[i:j] - a, 0)
         for k in range(POSITIONS):
-            least = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], begins)
-            out[:, k] = tk.mix(least) >> np.uint64(64 - BITS)
-    return out
+            np.minimum(least[k, i:j], np.minimum.reduceat((flat[a:b] ^ _XOR[k]) * _MUL[k], at), out=least[k, i:j])
+    return (tk.mix(least) >> np.uint64(64 - BITS)).astype(np.uint16).T.copy()
 
 
 def _sign(batches):
+    names = ["doc_id", "text_hash", "n_shingles", "set_id", "check", "signature"]
     for batch in batches:
         parts = []
         for i, j, words in tk.word_slices(batch.column(1), lower=True):
-            flat, first = shingles(words)
+            flat, first, more = shingles(words, both=True)
             n = np.diff(first)
             raw = np.full(j - i, None, object)
             raw[n > 0] = [r.tobytes() for r in signatures(flat, first)]
-            parts.append((n, _ids(flat, first), raw))
-        n, ids, raw = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64(), mask=n == 0 if len(n) else None), pa.array(list(raw), pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "signature"])
+            parts.append((n, _ids(flat, first), _ids(more, first), raw))
+        if parts:
+            n, ids, checks, raw = (np.concatenate(x) for x in zip(*parts))
+            own = [pa.array(n), *(pa.array(x, pa.int64(), mask=n == 0) for x in (ids, checks)), pa.array(list(raw), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], names)
 
 
 def _keys(batches):
@@ -183,10 +204,9 @@ def _apart(batches):
 def _sets(batches):
     for batch in batches:
         for _, _, words in tk.word_slices(batch.column(0), lower=True):
-            flat, first = shingles(words)
-            ids = _ids(flat, first)
+            flat, first, more = shingles(words, both=True)
             blobs = [flat[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(flat, first)), pa.array(_ids(more, first)), pa.array(blobs, pa.binary())], ["set_id", "check", "members"])
 
 
 def _linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -246,25 +266,27 @@ def _confirm(batches):
 def _grouped(docs: DataFrame, key: str, text: str, *also: str) -> DataFrame:
     """One row per row of `docs`: doc_id, `also` (text_hash), n_shingles, and the group, null without a shingle.
 
+    Classes are numbered where they are written, so a class's id is its own at any size.
+
     Shuffles: the keys once (16 bytes each, POSITIONS a class), texts once for the classes
     that have a candidate, and small tables of classes and links. No bucket is cut off.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     ship(docs.sparkSession)
     kind = dict(rows.dtypes)["doc_id"]
-    signed = cut(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, n_shingles long, set_id long, signature binary"))
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.min("signature").alias("signature"))
-    classes = cut(classes.withColumnRenamed("set_id", "id"))
+    signed = cut(rows.mapInArrow(tidy(_sign), f"doc_id {kind}, text_hash long, n_shingles long, set_id long, check long, signature binary"))
+    classes = signed.where("set_id is not null").groupBy("set_id", "check").agg(F.min("n_shingles").alias("n"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.min("signature").alias("signature"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
     by_key = Window.partitionBy("key")
-    keyed = classes.select("id", "signature").mapInArrow(_keys, "key long, id long")
+    keyed = classes.select("id", "signature").mapInArrow(tidy(_keys), "key long, id long")
     shared = keyed.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high")
     shared = cut(shared.select("key", "id", "low"))
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
         b = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_close, "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(_close), "a long, b long")
 
     def across(groups: DataFrame) -> DataFrame:
         """A forest of pairs within the distance in a bucket whose two groups differ."""
@@ -272,23 +294,26 @@ def _grouped(docs: DataFrame, key: str, text: str, *also: str) -> DataFrame:
         seen = seen.withColumn("x", F.min("component").over(by_key)).withColumn("y", F.max("component").over(by_key)).where("x < y").select("id", "key", "component")
         seen = blocked(seen, ["key"], "id", BUCKET)
         full = seen.join(classes.select("id", "n", "signature"), "id").select("key", "i", "j", "id", "component", "n", "signature")
-        return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_apart, "a long, b long")
+        return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_apart), "a long, b long")
 
     stars = cut(signed_pairs(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
     # a group by signatures alone: what a bucket's smallest class draws together
     loose = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     near = components(cut(stars.union(across(loose))))
 
-    tasks = blocked(near, ["component"], "node", BLOCK).select(F.col("node").alias("id"), "component", "i", "j")
+    tasks = blocked(near, ["component"], "node", BLOCK).select(F.col("node").alias("id"), "component", "i", "j").join(classes.select("id", "set_id", "check"), "id")
     wanted = near.select(F.col("node").alias("id")).join(classes.select("id", "one"), "id").select("one.text_hash", F.col("one.doc_id").alias("one_id"))
     chosen = (rows["text_hash"] == wanted["text_hash"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])
-    members = cut(rows.join(wanted.hint("shuffle_hash"), chosen, "left_semi").select("text").mapInArrow(_sets, "id long, members binary"))
-    sent = members.join(tasks, "id").select("component", "i", "j", "id", "members")
-    links = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm, "a long, b long")
+    members = cut(rows.join(wanted.hint("shuffle_hash"), chosen, "left_semi").select("text").mapInArrow(tidy(_sets), "set_id long, check long, members binary"))
+    sent = members.join(tasks, ["set_id", "check"]).select("component", "i", "j", "id", "members")
+    links = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(tidy(_confirm), "a long, b long")
     groups = components(cut(links))
 
-    own = signed.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", *also, "n_shingles", F.coalesce("component", "set_id").alias("group"))
-    return cut(own)
+    linked = groups.join(classes.select(F.col("id").alias("node"), "set_id", "check"), "node").select("set_id", "check", "component")
+    own = signed.join(linked, ["set_id", "check"], "left")
+    alone = F.col("component").isNull()
+    group = F.when(F.col("set_id").isNotNull(), F.struct(alone.alias("alone"), F.coalesce("component", "set_id").alias("x"), F.when(alone, F.col("check")).otherwise(0).alias("y")))
+    return cut(own.select("doc_id", *also, "n_shingles", group.alias("group")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import textkernel as tk
 from shelfmark.llm.langid import held_out
-from shelfmark.llm.shared import ship
+from shelfmark.llm.shared import ship, tidy
 
 DIM = 32
 #: Learned vectors of words and of shapes.
@@ -52,12 +52,8 @@ def shapes(words: tk.Words) -> np.ndarray:
     new[begins] = True
     before = np.zeros(len(kinds) + 1, np.int64)
     np.cumsum(new, out=before[1:])
-    kept = kinds[new]
     starts, ends = before[begins], before[begins + sizes]
-    up, down = tk._powers("bytes", len(kept) + 1)
-    total = np.zeros(len(kept) + 1, np.uint64)
-    np.cumsum((kept.astype(np.uint64) + np.uint64(1)) * up[: len(kept)], out=total[1:])
-    return tk.mix((total[ends] - total[starts]) * down[starts])
+    return tk.word_hashes(kinds[new], starts, ends)
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
@@ -215,4 +211,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(columns, [key, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(key), F.col(text).alias("_text"), held_out(F.col(key)).alias("_held_out"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{key}` {kind}, held_out boolean, score double, predicted int")

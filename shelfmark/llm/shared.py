@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -15,11 +16,15 @@ from shelfmark.shipping import ship  # noqa: F401  operators take it from here
 
 def folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir. Only where
-    none is set, as in tests on one machine, a temporary one is made and set."""
+    none is set and all tasks run in this process, a temporary one is made and set; a cluster
+    without one gets a RuntimeError, since its machines share no temporary folder."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shelfmark-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -29,6 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(run):
+    """`run`, a function of batches, that gives a reused worker's free memory back at its end."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,9 +1,15 @@
 """Vectorised word and window hashing over the buffers of Arrow string columns.
 
 A word is a maximal run of bytes outside space and 0x09-0x0D, which for UTF-8 text is
-the pattern ``[^\\x20\\x09-\\x0D]+``. Hashes are prefix sums of a polynomial modulo 2**64,
-so the hash of any word or window costs two look-ups, whatever its length; each is then
-mixed, because the low bits of such sums are weak. Nothing depends on Python's own hash.
+the pattern ``[^\\x20\\x09-\\x0D]+``. A word's hash sums a bijective mix of each of its
+eight-byte pieces and the piece's place, so words of up to eight bytes and equal length
+never share one; a window's hash combines those of two shorter windows, neither linear nor
+symmetric. No sequence is weak by its form, as it would be under a polynomial modulo
+2**64. Two seeds give two independent hashes, 128 bits together. Nothing depends on
+Python's own hash.
+
+Texts are handled in slices, and what a slice needs besides its words is made in blocks,
+so a very long text costs its own bytes and some 24 bytes a word.
 """
 
 from __future__ import annotations
@@ -20,40 +26,34 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text handled at a time; a longer text is handled alone.
+#: Bytes of text handled at a time; a longer text is handled alone, in blocks of so many bytes or words.
 SLICE_BYTES = 1 << 19
+BLOCK_WORDS = 1 << 16
 
-_BASES = {"bytes": 0x9E3779B97F4A7C15, "words": 0xD1342543DE82EF95, "words2": 0xC2B2AE3D27D4EB4F}
-_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(name: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get(name)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        base = _BASES[name]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(size, b, dtype=np.uint64)
-            table[0] = 1
-            both.append(np.cumprod(table, dtype=np.uint64))
-        have = _POWERS[name] = (both[0], both[1])
-        if size > 4 * SLICE_BYTES:  # one very long text: don't keep its tables
-            del _POWERS[name]
-    return have
+_SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_ODD = tuple(np.uint64(x) for x in (0xD1342543DE82EF95, 0xA0761D6478BD642F))
+#: The low 0 to 8 bytes of a number.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words in which each output bit depends on all input bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
 
+def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of two hashes, in that order."""
+    x = a * _ODD[seed]
+    x ^= x >> np.uint64(32)
+    x += b
+    return mix(x)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and len + 1 offsets; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,41 +80,94 @@ class Words:
     first: np.ndarray  # of len(texts) + 1
     hashes: np.ndarray
 
+    def second(self) -> np.ndarray:
+        """Hashes that are independent of `hashes`."""
+        return word_hashes(self.data, self.starts, self.ends, 1)
+
+    def part(self, a: int, b: int) -> Words:
+        """Words a to b, as if of one text."""
+        return Words(self.data, self.starts[a:b], self.ends[a:b], np.array([0, b - a]), self.hashes[a:b])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans aren't empty."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # spans of a block's bytes, or one longer span
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, side="right")))
+        from_ = int(starts[a])
+        body = np.zeros(int(ends[b - 1]) - from_ + 8, np.uint8)
+        body[:-8] = data[from_ : ends[b - 1]]
+        sizes = (ends[a:b] - starts[a:b]).astype(np.int64)
+        pieces = (sizes + 7) >> 3
+        place = ranges(np.zeros(b - a, np.int64), pieces)
+        value = np.lib.stride_tricks.sliding_window_view(body, 8)[np.repeat(starts[a:b] - from_, pieces) + 8 * place].view("<u8").ravel()
+        value &= _LOW[np.minimum(np.repeat(sizes, pieces) - 8 * place, 8)]
+        value ^= mix(place.view(np.uint64) * _ODD[seed] + _SEEDS[seed])
+        total = np.add.reduceat(mix(value), np.cumsum(pieces) - pieces)
+        out[a:b] = mix(total + sizes.view(np.uint64) * _SEEDS[seed])
+        a = b
+    return out
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, in blocks of bytes; words end at the given edges of texts."""
+    n, kind = len(data), np.int32 if len(data) < 1 << 31 else np.int64
+    begins, stops = [], []
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    for a in range(0, n, SLICE_BYTES):
+        b = min(a + SLICE_BYTES, n)
+        solid = ~SPACE[data[max(a - 1, 0) : min(b + 1, n)]]
+        skip = int(a > 0)
+        own = solid[skip : skip + b - a]
+        new, last = own.copy(), own.copy()
+        new[1 - skip :] &= ~solid[: len(new) - 1 + skip]
+        last[: len(solid) - skip - 1] &= ~solid[skip + 1 :][: b - a]
+        here = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a
+        new[here] = own[here]
+        here = edges[np.searchsorted(edges, a + 1) : np.searchsorted(edges, b, side="right")] - a - 1
+        last[here] = own[here]
+        begins.append((np.flatnonzero(new) + a).astype(kind))
+        stops.append((np.flatnonzero(last) + (a + 1)).astype(kind))
+    return np.concatenate(begins), np.concatenate(stops)
+
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words and their hashes. lower: fold A-Z before hashing."""
-    n = len(data)
-    if not n:
+    if not len(data):
         empty = np.zeros(0, np.int64)
         return Words(data, empty, empty, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    solid = ~SPACE[data]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    edges = offsets[(offsets > 0) & (offsets < n)]
-    begins[edges] = solid[edges]
-    stops = solid.copy()
-    stops[:-1] &= ~solid[1:]
-    stops[edges - 1] = solid[edges - 1]
-    starts = np.flatnonzero(begins)
-    ends = np.flatnonzero(stops) + 1
+    starts, ends = _spans(data, offsets)
     if lower:
         data = LOWER[data]
-    up, down = _powers("bytes", n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), word_hashes(data, starts, ends))
+
 
+def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of each run of `size` words; run i begins at word i. Runs may cross texts.
 
-def windows(hashes: np.ndarray, size: int, name: str = "words") -> np.ndarray:
-    """Hash of each run of `size` words; run i begins at word i. Runs may cross texts."""
-    n = len(hashes)
-    if n < size:
+    Runs of 1, 2, 4, ... words are combined from two of half the length, and those of the
+    bits of `size` are put together, in blocks of words.
+    """
+    n = len(hashes) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(name, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[: n - size + 1] + np.uint64(size))
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK_WORDS):
+        m = min(BLOCK_WORDS, n - a)
+        run, width = hashes[a : a + m + size - 1], 1
+        total, done = None, 0
+        while True:
+            if size & width:
+                own = run[done : done + m]
+                total = own if total is None else pair(total, own, seed)
+                done += width
+            if done == size:
+                break
+            run = pair(run[:-width], run[width:], seed)
+            width *= 2
+        out[a : a + m] = mix(total + np.uint64(size))
+    return out
 
 
 def inside(first: np.ndarray, size: int) -> np.ndarray:

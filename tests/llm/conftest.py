@@ -10,6 +10,14 @@ def words(rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n)]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that polynomial hashes modulo 2**64 confuse."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def odd_texts():
     """Texts that operators have to bear: null, empty, blank, odd spaces and letters, very long."""

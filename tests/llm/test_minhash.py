@@ -1,3 +1,5 @@
+from conftest import DOCS, thue_morse
+
 from shelfmark.llm import minhash
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -69,3 +71,25 @@ def test_odd_rows(odd_docs):
 
 def test_empty(no_docs):
     assert minhash.near_duplicates(no_docs).collect() == []
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    rows = [(i, word, "en", "s", 0) for i, word in enumerate(thue_morse(10))]
+    assert sorted(r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [0, 1]
+
+
+def test_sets_of_one_id_are_told_apart(copied, monkeypatch):
+    ids = minhash._ids
+    monkeypatch.setattr(minhash, "_ids", lambda flat, first: ids(flat, first) & ~0x7FFFFFFFFFFFFFF8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(copied).collect()}
+    assert got == {k: v[1] for k, v in brute(copied.collect()).items()}
+
+
+def test_signatures_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    flat, first = rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, 0, 3, 200, 201, 201, 500, 500])
+    whole = minhash.signatures(flat, first)
+    monkeypatch.setattr(minhash.tk, "BLOCK_WORDS", 7)
+    assert whole.shape == (4, minhash.POSITIONS) and (minhash.signatures(flat, first) == whole).all()

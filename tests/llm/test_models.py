@@ -62,11 +62,59 @@ def test_code_switching_is_seen(spark):
     model = langid.fit(*langid.sample(table(spark)), chains=300, rounds=25)
     mixed = " ".join(["kalora"] * 40 + ["thesheowing"] * 40)
     _, _, words = next(tk.word_slices(pa.array([mixed]), lower=True))
-    best = model.posteriors(words).argmax(axis=1)
+    best = model.sums(words, each=True).argmax(axis=1)
     labels = [model.labels[k] for k in best]
     assert labels[:38] == ["xx"] * 38 and labels[42:] == ["yy"] * 38
 
 
+def test_a_text_is_one_chain(monkeypatch):
+    rng = np.random.default_rng(2)
+    n_labels = 3
+    texts = [" ".join(f"w{rng.integers(40)}" for _ in range(n)) for n in (1, 300, 5, 64, 65, 700, 0, 128)]
+    empty = langid.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), n_labels)
+    weights = (rng.standard_normal(((1 << langid.TABLE_BITS) + empty.size, n_labels)) * 0.3).astype(np.float32)
+    moves, start = rng.standard_normal((n_labels, n_labels)).astype(np.float32) * 2, rng.standard_normal(n_labels).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], empty, weights, moves, start)
+    _, _, words = next(tk.word_slices(pa.array(texts)))
+    each, scores = model.sums(words, each=True), model.emissions(words).astype(float)
+    for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+        if b > a:
+            want = langid.forward_backward(scores[None, a:b], np.array([b - a]), moves, start)[0]
+            assert np.allclose(each[a:b], want, atol=1e-4)
+            assert np.allclose(model.sums(words)[k], want.sum(axis=0), rtol=1e-4, atol=1e-3)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    monkeypatch.setattr(tk, "BLOCK_WORDS", 50)
+    assert np.allclose(model.sums(words, each=True), each, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join("".join(rng.choice(f"{i % 90:02d}xyzuvw") for _ in range(4)) + f"{i % 90:02d}k" for _ in range(30)), f"l{i % 90}") for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.sample(docs)
+    assert len(set(langs)) == 90
+    few = langid.CHARACTERS
+    try:
+        langid.CHARACTERS = 90 * 300
+        texts, langs = langid.sample(docs)
+        assert len(set(langs)) == 90 and sum(map(len, texts)) <= 90 * 300
+    finally:
+        langid.CHARACTERS = few
+
+
+def test_affixes_are_letters():
+    word = "ñandú漢字".encode()
+    data = np.frombuffer(word, np.uint8)
+    to, since = langid._affixes(data, np.array([0]), np.array([len(word)]))
+    assert word[: to[0]].decode() == "ñan" and word[since[0] :].decode() == "ú漢字"
+
+
+def test_supplied_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.predict(docs, langid.fit(*langid.sample(docs)), keep=("lang",)).where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+
+
 def test_whole_long_text_counts(spark):
     model = langid.fit(*langid.sample(table(spark)), chains=300, rounds=25)
     text = " ".join(["kalora"] * 3000 + ["thesheowing"] * 9000)

@@ -1,7 +1,9 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from conftest import DOCS, thue_morse
 
 from shelfmark.llm import substring
 
@@ -43,3 +45,24 @@ def test_odd_rows(odd_docs):
 
 def test_empty(no_docs):
     assert substring.dedup(no_docs).collect() == []
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{word} {rest}", "en", "s", 0) for i, word in enumerate(thue_morse(10))]
+    assert [r.n_removed for r in substring.dedup(spark.createDataFrame(rows, DOCS)).collect()] == [0, 0]
+
+
+def test_equal_first_hashes_are_told_apart():
+    one, two = np.array([3, 3, 3, 9], np.uint64), np.array([1, 5, 8, 2], np.uint64)
+    h, h2 = np.array([3, 3, 3, 9, 9, 4], np.uint64), np.array([8, 6, 1, 2, 3, 1], np.uint64)
+    assert substring._known(h, lambda i: h2[i], one, two).tolist() == [True, False, True, True, False, False]
+
+
+def test_more_groups_for_more_bytes(spark, copied, monkeypatch, tmp_path):
+    copied.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    few = substring.groups(docs)
+    monkeypatch.setattr(substring, "GROUP_BYTES", 1000)
+    assert substring.groups(docs) > few
+    assert substring.groups(docs.limit(5)) >= 1
