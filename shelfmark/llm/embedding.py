@@ -2,19 +2,27 @@
 
 A unit vector is rotated at random and reduced to its signs; the code is those bits, and
 the correction factor is the inner product of the vector with its own rounded form. With
-both, the inner product with any other rotated vector is estimated without bias, with a
-confidence bound that narrows with the number of bits. Estimates whose upper bound is
-below the threshold end there; all other pairs are computed exactly, in doubles.
+both, the inner product with another vector is estimated without bias, with a confidence
+bound that narrows with the number of bits. The other vector stands there in eight bits a
+component, rounded at random, so an estimate needs no exact vector.
 
-Candidates come from the same codes: BANDS bands of BAND bits, each a key together with
+Candidates come from the same rotations: BANDS bands of BAND bits, each a key together with
 label and dimension, so that rows meet only in a bucket. A pair at the threshold shares no
 band with a probability of about 2e-6; closer pairs, far less. Equal vectors of a label are
-one class first. A bucket's pairs are compared in blocks where they are, each pair in the
-first band that it shares, and only counts and the edges of a spanning forest leave.
+one class first. Then, in two rounds:
+
+1. codes, factors and rounded vectors of a bucket's classes are compared, and a class goes
+   on if the upper bound of some estimate reaches the threshold;
+2. exact vectors are sent for those alone, and every pair whose bound reaches the threshold
+   is computed exactly, in doubles, in the first band that it shares.
+
+Large buckets are dealt out in pairs of blocks in both rounds; only counts and the edges of
+a spanning forest leave them.
 
 A vector that is null, zero, or holds null or non-finite components, or whose label is
 null, links with nothing; vectors of different lengths never link. Vectors are classed by
-64-bit hashes. Rows that repeat a vec_id are rows of their own.
+64-bit hashes. Rows that repeat a vec_id are rows of their own, and equal vectors under one
+label link. An empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm import textkernel as tk
-from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship
+from shelfmark.llm.shared import Forest, begins, blocked, components, cut, runs, ship, tidy
 
 BAND, BANDS = 16, 96
 #: Rotations whose bits serve the estimate, and standard errors of its bound.
 ESTIMATE, ERRORS = 4, 6.0
+#: Components below which a bound says too little, so that every pair is computed.
+LEAST_DIM = 8
 #: Pairs compared at a time.
 BLOCK = 32_768
 #: Classes of a bucket that are compared with one another, or with as many, in one task.
@@ -52,45 +62,59 @@ def rotations(dim: int) -> np.ndarray:
     return _ROTATIONS[dim]
 
 
-def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, BANDS) of 16 bits each, and correction factors, of unit vectors."""
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors the BANDS keys of 16 bits, the ESTIMATE rotations' bits, and the correction factors."""
     dim = x.shape[1]
     y = x @ rotations(dim)
-    bits = y[:, : BAND * BANDS] > 0
-    codes = np.packbits(bits, axis=1).view(np.uint16).reshape(len(x), BANDS)
-    factors = np.abs(y[:, : ESTIMATE * dim]).sum(axis=1) / (ESTIMATE * dim**0.5)
-    return codes, factors
+    keys = np.packbits(y[:, : BAND * BANDS] > 0, axis=1).view(np.uint16).reshape(len(x), BANDS)
+    y = y[:, : ESTIMATE * dim]
+    return keys, np.packbits(y > 0, axis=1), np.abs(y).sum(axis=1) / (ESTIMATE * dim**0.5)
 
 
-def estimate(signs: np.ndarray, factors: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of inner products, and their bounds at ERRORS standard errors.
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in eight bits a component, and their scales; rounding is random, so without bias."""
+    scale = np.abs(x).max(axis=1) / 127
+    dither = np.random.default_rng([x.shape[1], 17]).random(x.shape[1])
+    return np.clip(np.floor(x / scale[:, None] + dither), -128, 127).astype(np.int8), scale
 
-    signs: +-1 of the coded vectors' first ESTIMATE rotations; turned: the other vectors
-    in those rotations.
-    """
-    dim = signs.shape[1] // ESTIMATE
-    value = np.einsum("ij,ij->i", signs, turned) / (ESTIMATE * dim**0.5 * factors)
-    spread = np.sqrt(np.maximum(1 - factors**2, 0)) / factors
-    return value, ERRORS * spread / np.sqrt(ESTIMATE * max(dim - 1, 1))
+
+def decode(bits: np.ndarray, factors: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors whose inner products with others are the estimates of the coded ones'."""
+    signs = np.unpackbits(bits, axis=1, count=ESTIMATE * dim).astype(np.float64) * 2 - 1
+    return signs @ rotations(dim)[:, : ESTIMATE * dim].T / (ESTIMATE * dim**0.5 * factors)[:, None]
+
+
+def bounds(decoded: np.ndarray, factors: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """ERRORS standard errors of the estimates for coded vectors and others with such scales."""
+    dim = decoded.shape[1]
+    if dim < LEAST_DIM:
+        return np.full(len(decoded), 4.0)
+    spread = np.sqrt(np.maximum(1 - factors**2, 0)) / factors / np.sqrt(ESTIMATE * (dim - 1))
+    return ERRORS * np.sqrt(spread**2 + (0.5 * scales) ** 2 * np.einsum("ij,ij->i", decoded, decoded))
 
 
 def _code(batches):
+    names = ["id", "label", "n", "dim", "unit", "code", "bits", "factor", "levels", "scale"]
     for batch in batches:
         if not len(batch):
             continue
         values, offsets = batch.column(3).flatten(), np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
         values = values.to_numpy().astype(np.float64)
         dims = np.diff(offsets)
-        units, codes, factors = np.empty(len(batch), object), np.empty(len(batch), object), np.zeros(len(batch))
+        raw = {c: np.empty(len(batch), object) for c in ("unit", "code", "bits", "levels")}
+        factors, scales = np.zeros(len(batch)), np.zeros(len(batch))
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             x = values[tk.ranges(offsets[at], dims[at])].reshape(len(at), dim)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c, f = encode(x)
-            factors[at] = f
-            units[at], codes[at] = [v.tobytes() for v in x], [v.tobytes() for v in c]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(dims, pa.int32()), pa.array(list(units), pa.binary()), pa.array(list(codes), pa.binary()), pa.array(factors)], ["id", "label", "n", "dim", "unit", "code", "factor"])
+            code, bits, factors[at] = encode(x)
+            levels, scales[at] = rounded(x)
+            for name, rows in (("unit", x), ("code", code), ("bits", bits), ("levels", levels)):
+                raw[name][at] = [v.tobytes() for v in rows]
+        held = {c: pa.array(list(v), pa.binary()) for c, v in raw.items()}
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(dims, pa.int32()), held["unit"], held["code"], held["bits"], pa.array(factors), held["levels"], pa.array(scales)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _keys(batches):
@@ -103,53 +127,80 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch))), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "band", "id"])
 
 
+def _pairs(bucket: np.ndarray, block: np.ndarray, alone: np.ndarray):
+    """Places (i, j) of the pairs of each bucket, BLOCK at a time; buckets are runs of rows.
+
+    Pairs of one block are only met where the block is `alone`, as everywhere else they come again."""
+    live, gap, m = np.arange(len(bucket)), 0, len(bucket)
+    while True:
+        gap += 1
+        live = live[live + gap < m]
+        live = live[bucket[live] == bucket[live + gap]]
+        if not len(live):
+            return
+        for s in range(0, len(live), BLOCK):
+            i = live[s : s + BLOCK]
+            i = i[alone[i] | (block[i] != block[i + gap])]
+            yield i, i + gap
+
+
+def _runs_of(batches, columns: int):
+    """(columns, buckets) of rows by key, i and j that have one dimension; the sixth column is the dimension."""
+    for part in runs(batches, 3, columns):
+        starts = begins(*part[:3])
+        bucket = np.repeat(np.arange(len(starts)), np.diff([*starts, len(part[0])]))
+        for d in np.unique(part[5]):
+            own = np.flatnonzero(part[5] == d)
+            yield int(d), [x[own] for x in part], bucket[own]
+
+
+def _open(threshold: float):
+    """The rows that have a pair whose estimate's bound reaches the threshold."""
+
+    def run(batches):
+        for d, (key, left, right, block, ids, _, band, bits, factor, levels, scale), bucket in _runs_of(batches, 11):
+            decoded = decode(np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1), factor, d)
+            other = np.frombuffer(b"".join(levels), np.int8).reshape(-1, d) * scale[:, None]
+            goes_on = np.zeros(len(ids), bool)
+            most = bounds(decoded, factor, np.full(len(ids), scale.max()))
+            for i, j in _pairs(bucket, block, left == right):
+                found = np.einsum("ij,ij->i", decoded[i], other[j]) + most[i] >= threshold
+                goes_on[i[found]] = goes_on[j[found]] = True
+            if goes_on.any():
+                columns = [pa.array(x[goes_on]) for x in (key, left, right, block, ids, band)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "own", "id", "band"])
+
+    return run
+
+
 def _links(threshold: float):
     def run(batches):
         """Rows come by key and blocks. Holds the rows of one pair of blocks besides a batch."""
-
-        def compare(key, left, right, block, band, ids, n, dim, unit, code, factor):
-            starts = begins(key, left, right)
-            bucket = np.repeat(np.arange(len(starts)), np.diff([*starts, len(key)]))
+        for d, (key, left, right, block, ids, _, band, n, unit, code), bucket in _runs_of(batches, 10):
             forest, counts_of, counts = Forest(), [], []
             codes = np.frombuffer(b"".join(code), np.uint16).reshape(-1, BANDS)
-            for d in np.unique(dim):
-                own = np.flatnonzero(dim == d)
-                x = np.frombuffer(b"".join(unit[own]), np.float64).reshape(-1, d)
-                turned = x @ rotations(int(d))[:, : ESTIMATE * d]
-                k, m = bucket[own], len(own)
-                live, gap = np.arange(m), 0
-                while True:
-                    gap += 1
-                    live = live[live + gap < m]
-                    live = live[k[live] == k[live + gap]]
-                    if not len(live):
-                        break
-                    for s in range(0, len(live), BLOCK):
-                        i = live[s : s + BLOCK]
-                        j = i + gap
-                        first = (codes[own[i]] == codes[own[j]]).argmax(axis=1)
-                        meet = (left[own[i]] == right[own[i]]) | (block[own[i]] != block[own[j]])
-                        mine = (first == band[own[i]]) & meet
-                        i, j = i[mine], j[mine]
-                        value, bound = estimate(np.where(turned[i] > 0, 1.0, -1.0), factor[own[i]], turned[j])
-                        open_ = value + bound >= threshold
-                        i, j = i[open_], j[open_]
-                        good = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-                        i, j = own[i[good]], own[j[good]]
-                        if len(i):
-                            counts_of += [ids[i], ids[j]]
-                            counts += [n[j], n[i]]
-                            for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-                                forest.join(a, b)
+            x = np.frombuffer(b"".join(unit), np.float64).reshape(-1, d)
+            _, bits, factor = encode(x)
+            decoded = decode(bits, factor, d)
+            most = bounds(decoded, factor, np.zeros(len(x)))
+            for i, j in _pairs(bucket, block, left == right):
+                mine = (codes[i] == codes[j]).argmax(axis=1) == band[i]
+                i, j = i[mine], j[mine]
+                may = np.einsum("ij,ij->i", decoded[i], x[j]) + most[i] >= threshold
+                i, j = i[may], j[may]
+                good = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+                i, j = i[good], j[good]
+                if len(i):
+                    counts_of += [ids[i], ids[j]]
+                    counts += [n[j], n[i]]
+                    for a, b in zip(ids[i].tolist(), ids[j].tolist()):
+                        forest.join(a, b)
             if counts_of:
                 who, back = np.unique(np.concatenate(counts_of), return_inverse=True)
                 total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
                 up = np.array([forest.root(x) for x in who.tolist()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(up), pa.array(total)], ["a", "b", "n"])
 
-        for part in runs(batches, 3, 11):
-            yield from compare(*part)
-
     return run
 
 
@@ -157,7 +208,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     """One row per row of `vectors`: key, n_links, component_id, kept.
 
     Links are pairs with equal labels and a cosine of `threshold` or more. Shuffles: keys
-    (20 bytes each, BANDS a class); codes and vectors for the buckets of two or more.
+    (20 bytes each, BANDS a class); for the buckets of two or more ESTIMATE bits and a byte
+    a component; exact vectors for classes with an estimate that leaves the pair open.
     """
     ship(vectors.sparkSession)
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
@@ -167,14 +219,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     rows = vectors.select(F.col(key).alias("vec_id"), tag.alias("label"), F.when(usable, clean).alias("v"))
     rows = rows.withColumn("id", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
     classes = rows.where("id is not null").groupBy("id").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.first("v").alias("v"), F.min("vec_id").alias("least"))
-    coded = cut(classes.select("id", "label", "n", "v").mapInArrow(_code, "id long, label long, n long, dim int, unit binary, code binary, factor double"))
+    form = "id long, label long, n long, dim int, unit binary, code binary, bits binary, factor double, levels binary, scale double"
+    coded = cut(classes.select("id", "label", "n", "v").mapInArrow(tidy(_code), form))
     whole = F.xxhash64("label", "dim")
-    keyed = coded.select("id", whole.alias("group"), "code").mapInArrow(_keys, "key long, band int, id long")
+    keyed = coded.select("id", whole.alias("group"), "code").mapInArrow(tidy(_keys), "key long, band int, id long")
     by_key = Window.partitionBy("key")
     shared = keyed.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high").select("key", "band", "id")
-    shared = blocked(shared, ["key"], "id", BUCKET)
-    full = shared.join(coded, "id").select("key", "i", "j", "own", "band", "id", "n", "dim", "unit", "code", "factor")
-    found = cut(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links(threshold), "a long, b long, n long"))
+    shared = cut(blocked(shared, ["key"], "id", BUCKET))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    near = dealt(shared.join(coded, "id").select("key", "i", "j", "own", "id", "dim", "band", "bits", "factor", "levels", "scale"))
+    near = near.mapInArrow(tidy(_open(threshold)), "key long, i int, j int, own int, id long, band int")
+    exact = dealt(near.join(coded, "id").select("key", "i", "j", "own", "id", "dim", "band", "n", "unit", "code"))
+    found = cut(exact.mapInArrow(tidy(_links(threshold)), "a long, b long, n long"))
     groups = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("n").alias("links"))
     info = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from shelfmark.llm import embedding
 
@@ -63,11 +64,36 @@ def test_estimate_is_unbiased_and_bounded():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x + rng.standard_normal(x.shape) * rng.uniform(0, 0.3, (4000, 1))
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    _, factors = embedding.encode(x)
-    part = embedding.rotations(64)[:, : embedding.ESTIMATE * 64]
-    value, bound = embedding.estimate(np.where(x @ part > 0, 1.0, -1.0), factors, y @ part)
-    miss = value - np.einsum("ij,ij->i", x, y)
-    assert abs(miss.mean()) < 0.005 and (np.abs(miss) <= bound).all()
+    _, bits, factors = embedding.encode(x)
+    decoded = embedding.decode(bits, factors, 64)
+    levels, scales = embedding.rounded(y)
+    other = levels * scales[:, None]
+    miss = np.einsum("ij,ij->i", decoded, other) - np.einsum("ij,ij->i", x, y)
+    assert abs(miss.mean()) < 0.005 and (np.abs(miss) <= embedding.bounds(decoded, factors, scales)).all()
+    assert (np.abs(np.einsum("ij,ij->i", decoded, x) - 1) < 1e-9).all()  # a vector's estimate with itself is exact
+
+
+def test_estimates_spare_exact_vectors(spark):
+    """Vectors that share a bucket by chance alone don't go on to the exact round."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1] = x[0] + 0.01 * x[2]
+    x[1] /= np.linalg.norm(x[1])
+    _, bits, factors = embedding.encode(x)
+    levels, scales = embedding.rounded(x)
+    n = len(x)
+    zeros = np.zeros(n, np.int32)
+    columns = [np.full(n, 5), zeros, zeros, zeros, np.arange(n), np.full(n, 64, np.int32), zeros, [v.tobytes() for v in bits], factors, [v.tobytes() for v in levels], scales]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "i", "j", "own", "id", "dim", "band", "bits", "factor", "levels", "scale"])
+    out = pa.Table.from_batches(list(embedding._open(0.93)([batch])))
+    assert {0, 1} <= set(out["id"].to_pylist()) and out.num_rows < 20
+
+
+def test_clashing_columns(spark):
+    vectors = table(spark).selectExpr("*", "1 AS id", "2 AS n", "3 AS component_id", "4 AS code", "5 AS least")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors).collect()}
+    assert got == brute(vectors.collect())
 
 
 def test_empty_and_null_keys(spark):
