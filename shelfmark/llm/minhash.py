@@ -335,3 +335,16 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of_groups = own.where("`group` is not null").groupBy("group").agg(first).select("first.doc_id", "first.text_hash")
     alone = own.where("`group` is null").select("doc_id", "text_hash").distinct()
     return of_groups.union(alone).select(F.col("doc_id").alias(key), "text_hash")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT r, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+s AS (SELECT r, n, i, count(*) OVER v AS c, string_agg(x, ' ') OVER v AS sh FROM u WINDOW v AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+h AS (SELECT DISTINCT r, md5(sh) AS sh FROM s WHERE c = 5 OR (n < 5 AND i = 1)),
+z AS (SELECT r, count(*) AS size FROM h GROUP BY r),
+l AS (SELECT a.r AS a, b.r AS b, count(*) AS same FROM h a JOIN h b ON a.sh = b.sh AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT l.a, l.b FROM l JOIN z x ON x.r = l.a JOIN z y ON y.r = l.b WHERE 100 * same >= 75 * (x.size + y.size - same)),
+q AS (WITH RECURSIVE reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY 1)
+SELECT d.doc_id, coalesce(z.size, 0)::BIGINT AS n_shingles, q.component_id, d.doc_id IS NOT DISTINCT FROM q.component_id AS kept FROM d LEFT JOIN z USING (r) JOIN q USING (r)
+"""

@@ -64,4 +64,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_embedding": embedding.ORACLE}
+    return {
+        "op1_substring": substring.ORACLE,
+        "op2_mixing": mixing.ORACLE,
+        "op3_embedding": embedding.ORACLE,
+        "op4_sharding": sharding.ORACLE,
+        "op6_chat": chat.ORACLE,
+        "op9_minhash": minhash.ORACLE,
+    }

@@ -301,3 +301,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     out = texts.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(_remove(window, with_text, list(sent)), ", ".join(fields))
     columns = [F.col("text" if c == text else f"_keep_{c}").alias(c) for c in keep]
     return out.select(F.col("_key").alias(key), *columns, "n_words", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
+u AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM t),
+s AS (SELECT r, i, x, CASE WHEN count(*) OVER n = 35 THEN md5(string_agg(x, ' ') OVER n) END AS h FROM u WINDOW n AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+m AS (SELECT h FROM s WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+f AS (SELECT s.r, s.i, s.x, m.h IS NOT NULL AS hit FROM s LEFT JOIN m ON s.h = m.h),
+g AS (SELECT r, i, x, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM g),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+"""
