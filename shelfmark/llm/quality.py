@@ -3,13 +3,15 @@
 A word starts with a sparse ternary index vector that its hash determines, and so does its
 shape (letter case, digits and punctuation, with runs collapsed). Words and shapes that
 are frequent in the training sample get learned vectors instead: the sum of the index
-vectors of their neighbours, rotated by side, scaled to unit length. A text is pooled over
-all its words to the mean vector and the mean product of neighbours, which shows
+vectors of their neighbours, of words for a word and of shapes for a shape, rotated by side
+and scaled to unit length. A text is pooled over all its words to the mean vector and the mean product of neighbours, which shows
 repetition, and a two-layer numpy network maps that to a logit. Its temperature is fitted
 on a part of the sample that the network never sees.
 
 Null and empty texts pool to zeros and get a score as well. Labels, language, source and
-id are never inputs of a score. A model that had nothing to learn from scores 0.5.
+id are never inputs of a score. A model that had nothing to learn from scores 0.5. Labels
+other than 0 and 1 are left out; a key with both counts with both, and rows that repeat a key
+are rows of their own. Equal texts get equal scores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,15 +116,22 @@ class Model:
         out = np.zeros((len(counts), 2 * DIM + 1))
         out[:, -1] = np.log1p(counts)
         n = len(words.hashes)
-        if not n:
-            return out
-        v = self.words.of(words.hashes) + self.shapes.of(shapes(words))
-        full = np.flatnonzero(counts)
-        out[full, :DIM] = np.add.reduceat(v, words.first[full], axis=0) / counts[full, None]
-        both = np.zeros_like(v)
-        both[:-1] = v[:-1] * v[1:]
-        both[words.first[1:][full] - 1] = 0
-        out[full, DIM:-1] = np.add.reduceat(both, words.first[full], axis=0) / np.maximum(counts[full, None] - 1, 1)
+        step = n if n <= 4 * tk.BLOCK_WORDS else tk.BLOCK_WORDS  # only a text that is alone is taken in parts
+        for a in range(0, n, max(step, 1)):
+            some = words.part(a, min(a + step + 1, n))  # with the next part's first word
+            v = self.words.of(some.hashes) + self.shapes.of(shapes(some))
+            m = min(step, n - a)
+            i, j = int(np.searchsorted(words.first, a, side="right")) - 1, int(np.searchsorted(words.first, a + m))
+            full = i + np.flatnonzero(counts[i:j])
+            at = np.maximum(words.first[full] - a, 0)
+            out[full, :DIM] += np.add.reduceat(v[:m], at, axis=0)
+            both = np.zeros_like(v[:m])
+            both[: len(v) - 1] = v[:-1] * v[1:]
+            last = words.first[full + 1] - 1 - a
+            both[last[last < m]] = 0
+            out[full, DIM:-1] += np.add.reduceat(both, at, axis=0)
+        out[:, :DIM] /= np.maximum(counts, 1)[:, None]
+        out[:, DIM:-1] /= np.maximum(counts - 1, 1)[:, None]
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -138,6 +147,25 @@ class Model:
         return out
 
 
+def gradients(layers: list[np.ndarray], z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the weighted mean cross-entropy of labels y, with a small penalty on the weights, by layer."""
+    a, b, c, d = layers
+    h = np.tanh(z @ a + b)
+    p = 1 / (1 + np.exp(-np.clip((h @ c + d).ravel(), -30, 30)))
+    g = ((p - y) * w / w.sum())[:, None]
+    back = g @ c.T * (1 - h * h)
+    return z.T @ back + 1e-4 * a, back.sum(axis=0), h.T @ g + 1e-4 * c, g.sum(axis=0)
+
+
+def calibrate(logits: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The temperature, of a fixed ladder, under which such logits fit the labels best."""
+
+    def loss(t: float) -> float:
+        return float((np.logaddexp(0, np.where(y == 1, -1, 1) * logits / t) * w).sum())
+
+    return min(np.geomspace(0.25, 8, 61), key=loss)
+
+
 def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, hidden: int = 24, rounds: int = 400, seed: int = 11) -> Model:
     """A model from texts, labels 0 or 1 and weights, by Adam on weighted cross-entropy."""
     if not len(texts):
@@ -148,7 +176,7 @@ def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, hidden: int = 24
     parts = [(w.hashes, shapes(w), np.diff(w.first)) for _, _, w in tk.word_slices(column, lower=True)]
     hashes, form, counts = (np.concatenate(x) for x in zip(*parts))
     first = np.concatenate([[0], np.cumsum(counts)])
-    model = Model(learn_vectors(hashes, form, first, WORDS), learn_vectors(form, form, first, SHAPES), np.zeros(1), np.ones(1), [], 1.0)
+    model = Model(learn_vectors(hashes, hashes, first, WORDS), learn_vectors(form, form, first, SHAPES), np.zeros(1), np.ones(1), [], 1.0)
     x = np.concatenate([model.pool(w) for _, _, w in tk.word_slices(column, lower=True)])
     apart = rng.random(len(x)) < 0.2
     if apart.all() or not apart.any():
@@ -158,24 +186,13 @@ def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, hidden: int = 24
     layers = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, 1)), np.zeros(1)]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in layers]
     for r in range(1, rounds + 1):
-        a, b, c, d = layers
-        h = np.tanh(z @ a + b)
-        p = 1 / (1 + np.exp(-np.clip((h @ c + d).ravel(), -30, 30)))
-        g = ((p - y) * w / w.sum())[:, None]
-        back = g @ c.T * (1 - h * h)
-        grads = (z.T @ back + 1e-4 * a, back.sum(axis=0), h.T @ g + 1e-4 * c, g.sum(axis=0))
-        for p_, g_, (m, v) in zip(layers, grads, state):
+        for p_, g_, (m, v) in zip(layers, gradients(layers, z, y, w), state):
             m += 0.1 * (g_ - m)
             v += 0.01 * (g_ * g_ - v)
             p_ -= 0.02 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     model.layers = layers
     side = apart if apart.any() else ~apart
-    logits, y, w = model.logits(x[side]), good[side], weight[side]
-
-    def loss(t: float) -> float:
-        return float((np.logaddexp(0, np.where(y == 1, -1, 1) * logits / t) * w).sum())
-
-    model.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+    model.temperature = calibrate(model.logits(x[side]), good[side], weight[side])
     return model
 
 

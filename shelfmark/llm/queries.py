@@ -29,7 +29,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.encode_texts(_table(spark, sf_dir, "documents"), media=False)
+    return media.encode_texts(_table(spark, sf_dir, "documents"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

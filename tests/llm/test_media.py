@@ -76,3 +76,24 @@ def test_rows(odd_docs):
 
 def test_empty(no_docs):
     assert media.encode_texts(no_docs).collect() == []
+
+
+def overlap(n):
+    """Shares of n rows in each of 32 equal spans."""
+    edges = [n * k / 32 for k in range(33)]
+    return np.array([[max(0.0, min(b, r + 1) - max(a, r)) / (n / 32) for r in range(n)] for a, b in zip(edges, edges[1:])])
+
+
+@pytest.mark.parametrize("shape", [(1, 64), (5, 64), (32, 32), (100, 64), (47, 11)])
+def test_hash_by_hand(shape, monkeypatch):
+    rng = np.random.default_rng(sum(shape))
+    pixels = rng.integers(0, 256, shape).astype(np.uint8)
+    small = overlap(shape[0]) @ pixels.astype(float) @ overlap(shape[1]).T
+    low = [round(sum(small[i, j] * np.cos(np.pi * u * (2 * i + 1) / 64) * np.cos(np.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = [low[0] > 32 * 32 * 127.5, *(x > middle for x in low[1:])]
+    want = f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
+    assert media.cosine_hash(pixels) == want
+    monkeypatch.setattr(media, "BLOCK", 100)
+    assert media.cosine_hash(pixels) == want
+    assert (media.decode_png(media.encode_png(pixels)) == pixels).all()

@@ -169,3 +169,68 @@ def test_pack_round_trip():
     for n, bits in ((0, 64), (1, 64), (5, 3), (1000, 20), (5000, 44), (5000, 64)):
         values = np.unique(rng.integers(0, 1 << min(bits, 63), n, dtype=np.uint64))
         assert (tk.unpack(tk.pack(values)) == values).all()
+
+
+def test_pooling_by_hand(monkeypatch):
+    texts = ["The cat. The cat!", "", "one", "a b c d e f g h"]
+    words = [t.lower().split() for t in texts]
+    model = quality.fit(texts * 3, np.array([1.0, 0, 1, 0] * 3), np.ones(12))
+    _, _, w = next(tk.word_slices(pa.array(texts), lower=True))
+    vector = (model.words.of(w.hashes) + model.shapes.of(quality.shapes(w))).astype(float)
+    got = model.pool(w)
+    for k, own in enumerate(words):
+        v = vector[w.first[k] : w.first[k + 1]]
+        mean = [sum(x[d] for x in v) / max(len(own), 1) for d in range(quality.DIM)]
+        both = [sum(v[i][d] * v[i + 1][d] for i in range(len(v) - 1)) / max(len(own) - 1, 1) for d in range(quality.DIM)]
+        assert np.allclose(got[k], [*mean, *both, np.log(1 + len(own))], atol=1e-5)
+    _, _, alone = next(tk.word_slices(pa.array([" ".join(["a", "b!", "C"] * 200)]), lower=True))
+    whole = model.pool(alone)
+    monkeypatch.setattr(tk, "BLOCK_WORDS", 7)
+    assert np.allclose(model.pool(alone), whole, atol=1e-5)
+
+
+def test_word_vectors_are_their_neighbours():
+    _, _, w = next(tk.word_slices(pa.array(["x left y x left y", "x left"])))
+    vectors = quality.learn_vectors(w.hashes, w.hashes, w.first, 10)
+    index = {h: quality.index_vectors(np.array([h]))[0] for h in w.hashes}
+    x, left, y = w.hashes[:3]
+    want = 2 * np.roll(index[x], 1) + np.roll(index[x], 1) + 2 * np.roll(index[y], -1)
+    assert np.allclose(vectors.of(np.array([left]))[0], want / np.linalg.norm(want), atol=1e-5)
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(8)
+    z, y, w = rng.standard_normal((9, 4)), rng.integers(0, 2, 9).astype(float), rng.random(9)
+    layers = [rng.standard_normal((4, 3)), rng.standard_normal(3), rng.standard_normal((3, 1)), rng.standard_normal(1)]
+
+    def loss():
+        total = 0.0
+        for row, label, weight in zip(z, y, w):
+            h = [np.tanh(sum(row[i] * layers[0][i, j] for i in range(4)) + layers[1][j]) for j in range(3)]
+            p = 1 / (1 + np.exp(-(sum(h[j] * layers[2][j, 0] for j in range(3)) + layers[3][0])))
+            total -= weight / w.sum() * (label * np.log(p) + (1 - label) * np.log(1 - p))
+        return total + 0.5e-4 * ((layers[0] ** 2).sum() + (layers[2] ** 2).sum())
+
+    for p, g in zip(layers, quality.gradients(layers, z, y, w)):
+        for at in np.ndindex(*p.shape):
+            old = p[at]
+            p[at] = old + 1e-5
+            up = loss()
+            p[at] = old - 1e-5
+            assert abs((up - loss()) / 2e-5 - g[at]) < 1e-6
+            p[at] = old
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(9)
+    logits = rng.standard_normal(4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-logits))).astype(float)
+    assert abs(quality.calibrate(logits * 3, y, np.ones(4000)) - 3) < 0.4
+
+
+def test_supplied_held_out_ranking(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(*quality.sample(docs, labels))
+    rows = quality.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 50 and np.mean([[g > b for b in bad] for g in good]) > 0.97
