@@ -1,7 +1,8 @@
 """A training corpus from `documents`, in stages that each call one operator.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs.
+Parquet and read again as the next one's docs. All but the last return the columns of
+`documents`; other columns of docs play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,20 +44,31 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat; a text that loses nothing stays as it is."""
+    """Documents without the passages that repeat; a text that loses nothing stays as it is.
+
+    A null text stays null, with null n_chars, and a text that loses every word is empty; rows
+    that repeat a doc_id are documents of their own, which remove one another's passages.
+    """
     done = substring.dedup(docs, with_text=True, keep=("text", "lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return done.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in rows that are alike.
+
+    Null texts have size 0, and a null source is a source of its own; rows that repeat a
+    doc_id are documents of their own. What the mix takes not once goes.
+    """
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars", "source")).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digest and that of the text decoded from them."""
+    """Token ids of each document, with their digest and that of the text decoded from them.
+
+    A null text counts as empty and has no ids; rows that repeat a doc_id stay rows.
+    """
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -75,10 +87,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`, with each result kept in the shared folder."""
+    """The stages applied to `documents`, with each result kept in the shared folder until
+    the next one is written; what the last stage reads stays, as its result is lazy."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
