@@ -3,7 +3,7 @@ catalogue: ranges compare by text, and only arithmetic parses them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,27 +28,25 @@ def normalise_range(first: Column, last: Column) -> Column:
 
 
 def parse_epoch(text: Column) -> Column:
-    """Seconds since 1970 of a civil date, time only where 19 characters are there."""
+    """Seconds since 1970 of a civil date, time only where 19 characters are there.
+
+    A day that its month doesn't have counts on from the month's first."""
     day = F.when(F.substring(text, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.substring(text, 1, 10))
-    y, m, d = (F.substring(day, a, n).cast("long") for a, n in ((1, 4), (6, 2), (9, 2)))
-    # days of the civil calendar, counting years from March
-    y2 = F.when(m <= 2, y - 1).otherwise(y)
-    era = F.floor(y2 / 400)
-    of_era = y2 - era * 400
-    of_year = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    days = era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - 719468
+    y, m, d = (F.substring(day, a, n).cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
+    good = m.between(1, 12) & d.between(1, 31)
+    days = F.unix_date(F.date_add(F.make_date(F.when(good, y), m, F.lit(1)), d - 1)).cast("long")
     clock = F.when((F.length(text) >= 19) & F.substring(text, 12, 8).rlike("^[0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.substring(text, 12, 2).cast("long") * 3600 + F.substring(text, 15, 2).cast("long") * 60 + F.substring(text, 18, 2).cast("long")).otherwise(0)
-    return F.when(m.between(1, 12) & d.between(1, 31), (days * 86400 + clock).cast("long"))
+    return F.when(good, days * 86400 + clock)
 
 
-def estimate(capture: Column, digitised: Column, name_year: Column, scan: Column, grey: Column) -> Column:
-    """(earliest, latest, confidence, evidence) by order of authority: the camera's date, the
-    date of digitising, a year in the name, and what kind of picture it is."""
-    exact, made = parse_ymd(capture), parse_ymd(digitised)
-    year = F.when(name_year.between(1900, 2100), name_year)
-    made_year = F.substring(made, 1, 4)
+def with_estimate(rows: DataFrame) -> DataFrame:
+    """`rows` with earliest, latest, confidence and evidence by order of authority: the camera's
+    date (capture), the date of digitising (digitised), a year in the name (name_year), and what
+    kind of picture it is (scan, grey). Each date is parsed once, in a projection of its own."""
+    rows = rows.withColumns({"_exact": parse_ymd(F.col("capture")), "_made": parse_ymd(F.col("digitised")), "_year": F.when(F.col("name_year").between(1900, 2100), F.col("name_year"))})
+    exact, made, year, scan, grey = (F.col(c) for c in ("_exact", "_made", "_year", "scan", "grey"))
+    made_year, lit = F.substring(made, 1, 4), F.lit
     answer = lambda a, b, c: F.struct(a.alias("earliest"), b.alias("latest"), F.lit(c).alias("confidence"))
-    lit = F.lit
     best = (
         F.when(exact.isNotNull(), answer(exact, exact, 0.95))
         .when(made.isNotNull() & scan, answer(lit("1900-01-01"), F.concat(made_year, lit("-12-31")), 0.25))
@@ -58,16 +56,22 @@ def estimate(capture: Column, digitised: Column, name_year: Column, scan: Column
         .when(scan, answer(lit("1960-01-01"), lit("2005-12-31"), 0.18))
         .otherwise(answer(lit("1970-01-01"), lit("2025-12-31"), 0.10))
     )
-    evidence = F.array_compact(F.array(F.when(exact.isNotNull(), "capture date"), F.when(made.isNotNull(), "digitised"), F.when(year.isNotNull(), "year in name"), F.when(grey, "grey"), F.when(scan, "scanned print")))
-    return F.struct(best["earliest"].alias("earliest"), best["latest"].alias("latest"), best["confidence"].alias("confidence"), F.array_join(evidence, ", ").alias("evidence"))
+    evidence = F.concat_ws(", ", F.when(exact.isNotNull(), "capture date"), F.when(made.isNotNull(), "digitised"), F.when(year.isNotNull(), "year in name"), F.when(grey, "grey"), F.when(scan, "scanned print"))
+    rows = rows.withColumns({"_best": best, "evidence": evidence})
+    return rows.withColumns({c: F.col("_best")[c] for c in ("earliest", "latest", "confidence")}).drop("_exact", "_made", "_year", "_best")
 
 
-def describe(earliest: Column, latest: Column, confidence: Column) -> Column:
+def describe(earliest: Column, latest: Column, confidence: Column, source: Column, confirmed: Column) -> Column:
+    """A date in words that never shows an estimate as certain. source: capture, digitised or another."""
+    first, last = F.substring(earliest, 1, 4), F.substring(latest, 1, 4)
     return (
-        F.when(confidence < 0.2, "Date uncertain")
-        .when(earliest == latest, F.concat(F.lit("Taken "), earliest))
-        .when(F.substring(earliest, 1, 4) == F.substring(latest, 1, 4), F.concat(F.lit("Some time in "), F.substring(earliest, 1, 4)))
-        .otherwise(F.concat(F.lit("Between "), F.substring(earliest, 1, 4), F.lit(" and "), F.substring(latest, 1, 4)))
+        F.when(confirmed & (earliest == latest), F.concat(F.lit("Taken on "), earliest))
+        .when(confirmed, F.concat(F.lit("Between "), earliest, F.lit(" and "), latest, F.lit(" (confirmed)")))
+        .when(source == "capture", F.concat(F.lit("Taken on "), earliest))
+        .when(source == "digitised", F.concat(F.lit("Digitised around "), last, F.lit("; original date unknown")))
+        .when(earliest == latest, F.concat(F.lit("Around "), earliest))
+        .when(confidence < 0.2, "Date uncertain")
+        .otherwise(F.concat(F.lit("Likely taken between "), first, F.lit(" and "), last))
     )
 
 

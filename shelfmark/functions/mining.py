@@ -11,26 +11,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text as T
+
+_PLAIN = str.maketrans(dict(zip(T.ACCENTED, T.PLAIN)) | {"'": None, "’": None})
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
+def plain(word: str) -> str:
+    """Lower case without accents and apostrophes."""
+    return word.translate(_PLAIN).lower()
+
+
 def find_brands(text: str, lexicon: list[str], ambiguous: frozenset[str]) -> list[str]:
     """Lexicon entries in a text as whole words, the longest first; a word serves one entry.
 
-    An ambiguous entry counts only where each of its words begins with a capital.
+    Case and accents don't matter. An ambiguous entry counts only where all its letters are
+    capitals.
     """
     words = _WORD.findall(text)
-    low = [w.lower() for w in words]
+    low = [plain(w) for w in words]
     free = [True] * len(words)
     at: dict[str, list[int]] = {}
     for i, w in enumerate(low):
         at.setdefault(w, []).append(i)
     found: set[str] = set()
     for entry in sorted(lexicon, key=lambda e: (-len(e.split()), -len(e), e)):
-        parts = entry.lower().split()
+        parts = plain(entry).split()
         for i in at.get(parts[0], ()) if parts else ():
             span = range(i, i + len(parts))
-            if low[i : i + len(parts)] == parts and all(free[k] for k in span) and (entry not in ambiguous or all(words[k][0].isupper() for k in span)):
+            if low[i : i + len(parts)] == parts and all(free[k] for k in span) and (entry not in ambiguous or all(ch.isupper() for k in span for ch in words[k] if ch.isalpha())):
                 found.add(entry)
                 for k in span:
                     free[k] = False
@@ -105,6 +114,13 @@ def colour_stats(pixels: Column) -> Column:
     return F.struct(F.round(total(lambda p: (p["r"] + p["g"] + p["b"]) / 3.0) / n, 6).alias("mean"), F.round(saturation, 6).alias("saturation"), (grey > 0.95).alias("is_grey"))
 
 
+def scan_artifacts(border: Column) -> Column:
+    """Whether the pixels of a picture's border, (r, g, b) of 0 to 255, are a scanner's paper:
+    brighter than 0.6 and less saturated than 0.5 in the mean."""
+    stats = colour_stats(border)
+    return (stats["mean"] / 255 > 0.6) & (stats["saturation"] < 0.5)
+
+
 #: The colour that a word of a search stands for.
 COLOURS = {"sea": (40, 90, 160), "sky": (110, 170, 230), "forest": (40, 100, 50), "snow": (235, 240, 245), "night": (20, 20, 40), "sunset": (230, 120, 60)}
 SYNONYMS = {"ocean": "sea", "beach": "sea", "wood": "forest", "winter": "snow", "evening": "sunset"}

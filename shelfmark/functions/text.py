@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters that searches treat as their plain form.
-ACCENTED, PLAIN = "éèêëáàâäíìîïóòôöúùûüñç", "eeeeaaaaiiiioooouuuunc"
-# Path components that say nothing about a folder.
-FURNITURE = ["dcim", "source"]
-GENERIC = ["raw", "jpg", "edited", "final", "selects"]
+# Letters that searches treat as their plain form, and those forms.
+ACCENTED = "éèêëÉÈÊËàáâäÀÁÂÄìíîïÌÍÎÏòóôöÒÓÔÖùúûüÙÚÛÜçÇšŠ"
+PLAIN = "eeeeeeeeaaaaaaaaiiiiiiiioooooooouuuuuuuuccss"
+#: The same in the letter's own case.
+PLAIN_CASED = "".join(p.upper() if a.isupper() else p for a, p in zip(ACCENTED, PLAIN))
+# First path components that are a computer's, not a folder its owner made.
+FURNITURE = ["desktop", "documents", "pictures", "downloads", "users", "volumes"]
+#: White space of any script.
+SPACES = r"[\t-\r \x85\p{Z}]+"
 
 
 def sanitize_query(q: Column) -> Column:
-    """A search box's text as quoted phrases joined by OR; words without letters or digits go."""
-    words = F.filter(F.split(q, r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
-    phrases = F.transform(words, lambda w: F.trim(F.regexp_replace(w, "[^A-Za-z0-9]+", " ")))
-    return F.array_join(F.transform(F.filter(phrases, lambda p: F.length(p) > 0), lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " OR ")
+    """A search box's text as quoted phrases joined by OR; words without letters or digits go.
+
+    Letters and digits of all scripts stay; what else a word holds parts it to a phrase."""
+    words = F.filter(F.split(q, SPACES), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    phrases = F.transform(words, lambda w: F.trim(F.regexp_replace(w, r"[^\p{L}\p{N}]+", " ")))
+    return F.array_join(F.transform(phrases, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " OR ")
 
 
 def folder_key(path: Column) -> Column:
-    """The component that names a file's folder, or "(top of the drive)"."""
+    """The first folder of a path behind the computer's own, or "(top of the drive)".
+
+    Folders at the end that name a stage of work (raw, edits) are never the first unless
+    they are the only one, so they need no step."""
     parts = F.split(path, "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    known = F.filter(dirs, lambda p: ~F.lower(p).isin(*FURNITURE))
-    named = F.filter(known, lambda p: ~F.lower(p).isin(*GENERIC))
-    return F.coalesce(F.get(named, F.lit(0)), F.get(known, F.lit(0)), F.lit("(top of the drive)"))
+    return F.coalesce(F.get(F.filter(dirs, lambda p: ~F.lower(p).isin(*FURNITURE)), F.lit(0)), F.lit("(top of the drive)"))
 
 
 def month_phrase(first: Column, last: Column) -> Column:
@@ -54,9 +61,19 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
+def _plain_words(text: Column) -> Column:
+    """Words of A-Z, a-z and digits with one space between; apostrophes go."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, ACCENTED, PLAIN_CASED), "['’]", ""), "[^A-Za-z0-9]+", " "))
+
+
 def normalise(text: Column) -> Column:
     """Plain lower-case words with one space between; apostrophes go."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold_accents(F.lower(text)), "['’]", ""), "[^a-z0-9]+", " "))
+    return fold_nocase(_plain_words(text))
+
+
+def case_mask(text: Column) -> Column:
+    """For each character of :func:`normalise` whether it was a capital: 1 or 0."""
+    return F.regexp_replace(F.regexp_replace(_plain_words(text), "[^A-Z]", "0"), "[A-Z]", "1")
 
 
 def to_tag(text: Column) -> Column:

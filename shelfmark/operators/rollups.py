@@ -71,6 +71,36 @@ def summary_sentence(name: Column, count: Column, earliest: Column, latest: Colu
     )
 
 
+def scan_stats(drives: DataFrame, files: DataFrame, faces: DataFrame, clusters: DataFrame, tags: DataFrame) -> DataFrame:
+    """One row per drive: complete files and their bytes, faces, tags, distinct people."""
+    place = files.select("file_id", "drive_number")
+    counts = complete(files).groupBy("drive_number").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    seen = faces.select("file_id", "cluster_id").join(place, "file_id").join(clusters.select("cluster_id", "person_id"), "cluster_id", "left")
+    seen = seen.groupBy("drive_number").agg(F.count("*").alias("faces"), F.count_distinct("person_id").alias("people"))
+    tagged = tags.select("file_id").join(place, "file_id").groupBy("drive_number").agg(F.count("*").alias("tags"))
+    out = drives.select("drive_number").join(counts, "drive_number", "left").join(seen, "drive_number", "left").join(tagged, "drive_number", "left")
+    return out.fillna(0).select("drive_number", "files", "bytes", "faces", "tags", "people")
+
+
+def where_to_look(matches: DataFrame, drives: DataFrame) -> DataFrame:
+    """One sentence for (drive_number, n): the drives, the one with the most, which to connect."""
+    told = matches.join(drives.select("drive_number", "status", "location"), "drive_number")
+    name = F.concat(F.lit("Drive "), F.col("drive_number").cast("string"))
+    shown = F.concat(name, F.coalesce(F.concat(F.lit(" ("), "location", F.lit(")")), F.lit("")))
+    order = [(-F.col("n")).alias("minus"), F.col("drive_number")]
+    all_ = told.agg(
+        F.transform(F.array_sort(F.collect_list("drive_number")), lambda x: x.cast("string")).alias("l"),
+        F.min(F.struct(*order)).alias("best"),
+        F.array_sort(F.collect_list(F.when(F.col("status") != "online", F.struct(*order, shown.alias("shown"))))).alias("off"),
+    )
+    l, n, off = F.col("l"), F.size("l"), F.col("off.shown")
+    names = F.when(n == 1, F.concat(F.lit("Drive "), F.get(l, F.lit(0)))).otherwise(F.concat(F.lit("Drives "), F.array_join(F.slice(l, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(l, F.lit(-1))))
+    most = F.when(n > 1, F.format_string(" Drive %s has the most (%s).", F.col("best.drive_number").cast("string"), (-F.col("best.minus")).cast("string")))
+    connect = F.when(F.size(off) > 0, F.concat(F.lit(" Connect "), F.array_join(off, ", "), F.lit(" to open the originals.")))
+    sentence = F.concat(F.lit("Found on "), names, F.lit("."), F.coalesce(most, F.lit("")), F.coalesce(connect, F.lit("")))
+    return all_.select(F.when(n == 0, "Not found on any indexed drive.").otherwise(sentence).alias("sentence"))
+
+
 def coverage(drives: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
     """How much of each drive is indexed, against its latest real scan."""
     counts = files.groupBy("drive_number").agg(F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed"))
@@ -115,11 +145,12 @@ def compare_two(files: DataFrame, a: int, b: int, collection: str = "drive_numbe
     out = flags.agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("shared"), F.count_if(F.col("in_a")).alias("a_total"), F.count_if(F.col("in_b")).alias("b_total"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), size(only_a).alias("only_a_bytes"), size(only_b).alias("only_b_bytes"))
     most = F.greatest("a_total", "b_total")
     out = out.withColumn("overlap", F.round(F.when(most > 0, F.col("shared") * 100.0 / most).otherwise(0.0), 6))
+    within = lambda x, y: f"Drive {x} is contained in drive {y}: everything on {x} is also on {y}, and {y} holds %d more."
     words = (
-        F.when(F.col("shared") == 0, "nothing in common")
-        .when((F.col("only_a") == 0) & (F.col("only_b") == 0), "identical")
-        .when(F.col("only_a") == 0, "the first is contained in the second")
-        .when(F.col("only_b") == 0, "the second is contained in the first")
-        .otherwise("partly the same")
+        F.when(F.col("shared") == 0, f"Drives {a} and {b} have nothing in common.")
+        .when((F.col("only_a") == 0) & (F.col("only_b") == 0), F.format_string(f"Drives {a} and {b} are identical — same %d files.", "shared"))
+        .when(F.col("only_b") == 0, F.format_string(within(b, a), "only_a"))
+        .when(F.col("only_a") == 0, F.format_string(within(a, b), "only_b"))
+        .otherwise(F.format_string(f"Drives {a} and {b} are %.1f%% identical: %d files in common, %d only on {a}, %d only on {b}.", F.col("shared") * 100.0 / most, "shared", "only_a", "only_b"))
     )
     return out.withColumn("sentence", words)

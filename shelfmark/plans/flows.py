@@ -42,11 +42,11 @@ def index_append(c):
     return flows.run_append(stream.select("vec_id", F.size("embedding").alias("dim")), flows.shared_folder(c.spark))
 
 
-@query("jsonl_log", "SELECT run_id, outcome FROM runs WHERE run_id < 100")
+@query("jsonl_log", "SELECT run_id, outcome FROM runs")
 def jsonl_log(c):
     path = f"{flows.shared_folder(c.spark)}/log"
-    filesystem.append_log(c.runs.where("run_id < 50").select("run_id", "outcome"), path)
-    filesystem.append_log(c.runs.where("run_id BETWEEN 50 AND 99").select("run_id", "outcome"), path)
+    filesystem.append_log(c.runs.where("run_id % 2 = 0").select("run_id", "outcome"), path)
+    filesystem.append_log(c.runs.where("run_id % 2 = 1").select("run_id", "outcome"), path)
     return c.spark.read.schema("run_id bigint, outcome string").json(path)
 
 

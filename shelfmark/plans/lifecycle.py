@@ -251,13 +251,15 @@ def upsert_file(c):
     return C.merge_versions(old.union(new), ["file_id"], [F.desc("version")]).drop("version")
 
 
-_OUT = "WITH a AS (SELECT id AS file_id FROM range(0, 1200, 3) t(id)) SELECT a.file_id, CASE WHEN f.file_id IS NULL OR f.status = 'missing' THEN 'missing' WHEN d.status = 'offline' THEN 'skipped_offline' WHEN a.file_id % 4 = 0 THEN 'skipped_existing' ELSE 'copied' END AS outcome, 'drive' || lpad(f.drive_number::VARCHAR, 2, '0') || '_' || filename AS target FROM a LEFT JOIN files f USING (file_id) LEFT JOIN drives d USING (drive_number)"
+_OUT = "WITH a AS (SELECT file_id FROM files UNION SELECT file_id FROM dates) SELECT a.file_id, CASE WHEN f.file_id IS NULL OR f.status = 'missing' THEN 'missing' WHEN d.status = 'offline' THEN 'skipped_offline' WHEN a.file_id % 8 = 0 THEN 'skipped_existing' ELSE 'copied' END AS outcome, 'drive' || lpad(f.drive_number::VARCHAR, 2, '0') || '_' || filename AS target FROM a LEFT JOIN files f USING (file_id) LEFT JOIN drives d USING (drive_number)"
 
 
 def _copy(c):
-    rows = c.spark.range(0, 1200, 3).withColumnRenamed("id", "file_id").join(c.files.select("file_id", "status", "drive_number", "filename"), "file_id", "left")
+    asked = c.files.select("file_id").union(c.dates.select("file_id")).distinct()
+    there = c.files.where("file_id % 4 = 0").select("file_id", F.expr("size_bytes + file_id % 8").alias("there"))  # of other size for half of them
+    rows = asked.join(c.files.select("file_id", "status", "drive_number", "filename", "size_bytes"), "file_id", "left").join(there, "file_id", "left")
     rows = rows.join(c.drives.select("drive_number", F.col("status").alias("drive_status")), "drive_number", "left")
-    outcome = F.when(F.col("status").isNull() | (F.col("status") == "missing"), "missing").when(F.col("drive_status") == "offline", "skipped_offline").when(F.col("file_id") % 4 == 0, "skipped_existing").otherwise("copied")
+    outcome = F.when(F.col("status").isNull() | (F.col("status") == "missing"), "missing").when(F.col("drive_status") == "offline", "skipped_offline").when(F.col("there") == F.col("size_bytes"), "skipped_existing").otherwise("copied")
     return rows.select("file_id", outcome.alias("outcome"), F.concat(F.lit("drive"), F.lpad(F.col("drive_number").cast("string"), 2, "0"), F.lit("_"), "filename").alias("target"), "drive_number")
 
 

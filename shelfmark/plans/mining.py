@@ -70,14 +70,13 @@ query("folder_summaries", _FOLDERS + " SELECT * FROM s")(_folder_facts)
 
 
 @query("classify_folder", _FOLDERS + """, g AS (SELECT folder, coalesce(max(n) FILTER (name = 'brand#1'), 0) AS scan, coalesce(max(n) FILTER (name = 'brand#2'), 0) AS bride, coalesce(max(n) FILTER (name = 'brand#3'), 0) AS wedding, coalesce(max(n) FILTER (name = 'brand#4'), 0) AS child, coalesce(max(n) FILTER (tag_type = 'object'), 0) AS object, coalesce(max(n) FILTER (tag_type = 'event'), 0) AS event, arg_min(name, (-n, name, tag_type)) AS top FROM t GROUP BY 1)
-SELECT folder, CASE WHEN scan / photos >= 0.4 THEN 'scanned prints' WHEN bride / photos >= 0.08 AND photos % 2 = 0 OR wedding / photos >= 0.15 AND photos % 2 = 0 THEN 'wedding' WHEN with_faces / photos >= 0.3 AND child / photos >= 0.2 THEN 'children' WHEN with_faces / photos >= 0.6 AND faces * 2 <= with_faces * 3 THEN 'portraits' WHEN with_faces / photos < 0.2 AND object / photos >= 0.5 THEN 'products' WHEN with_faces / photos >= 0.5 AND event / photos >= 0.15 THEN 'event' WHEN with_faces / photos >= 0.5 THEN 'people' ELSE top END AS kind FROM s JOIN g USING (folder)""")
+SELECT folder, CASE WHEN scan / photos >= 0.4 THEN 'scanned prints' WHEN bride / photos >= 0.08 OR wedding / photos >= 0.15 THEN 'wedding' WHEN with_faces / photos >= 0.3 AND child / photos >= 0.2 THEN 'children' WHEN with_faces / photos >= 0.6 AND faces * 2 <= with_faces * 3 THEN 'portraits' WHEN with_faces / photos < 0.2 AND object / photos >= 0.5 THEN 'products' WHEN with_faces / photos >= 0.5 AND event / photos >= 0.15 THEN 'event' WHEN with_faces / photos >= 0.5 THEN 'people' ELSE top END AS kind FROM s JOIN g USING (folder)""")
 def classify_folder(c):
     tags = _folders(c).select("file_id", "folder").join(c.file_tags.select("file_id", "name", "tag_type"), "file_id").groupBy("folder", "name", "tag_type").agg(F.count_distinct("file_id").alias("n"))
     most = lambda cond: F.coalesce(F.max(F.when(cond, F.col("n"))), F.lit(0))
     kinds = {"scan": F.col("name") == "brand#1", "bride": F.col("name") == "brand#2", "wedding": F.col("name") == "brand#3", "child": F.col("name") == "brand#4", "object": F.col("tag_type") == "object", "event": F.col("tag_type") == "event"}
     grouped = tags.groupBy("folder").agg(*[most(v).alias(k) for k, v in kinds.items()], F.min_by("name", F.struct(-F.col("n"), "name", "tag_type")).alias("top"))
-    even = F.col("photos") % 2 == 0  # stands for folders that are known to be of a wedding
-    share = lambda k: F.when(even | (~F.lit(k in ("bride", "wedding"))), F.col(k) / F.col("photos")).otherwise(0.0)
+    share = lambda k: F.col(k) / F.col("photos")
     facts = _folder_facts(c).join(grouped, "folder")
     return facts.select("folder", M.classify(F.col("photos"), F.col("with_faces"), F.col("faces"), share, F.col("top")).alias("kind"))
 
@@ -92,11 +91,10 @@ def color_stats(c):
     return c.files.select("file_id", M.colour_stats(_pixels()).alias("x")).select("file_id", "x.*")
 
 
-@query("scan_artifacts", "WITH p AS (SELECT file_id, (file_id * 7 + i * 13) % 256 AS r, i FROM files, range(16) t(i)) SELECT file_id, avg(r) FILTER (i IN (0, 1, 2, 3, 4, 7, 8, 11, 12, 13, 14, 15)) > 153 AS bright_border FROM p GROUP BY 1")
+@query("scan_artifacts", "WITH p AS (SELECT file_id, (file_id * 7 + i * 13) % 256 AS r, (file_id * 5 + i * 13) % 256 AS g, (file_id * 3 + i * 13) % 256 AS b FROM files, range(16) t(i) WHERE i NOT IN (5, 6, 9, 10)) SELECT file_id, round(avg((r + g + b) / 3.0::DOUBLE), 6) / 255 > 0.6 AND round(avg(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(r, g, b) ELSE 0 END), 6) < 0.5 AS is_scan FROM p GROUP BY 1")
 def scan_artifacts(c):
-    border = F.array(*[F.lit(i) for i in range(16) if i not in (5, 6, 9, 10)])
-    total = F.aggregate(border, F.lit(0.0), lambda s, i: s + ((F.col("file_id") * 7 + i * 13) % 256))
-    return c.files.select("file_id", (total / 12 > 153).alias("bright_border"))
+    border = F.filter(F.transform(_pixels(), lambda p, i: F.struct(p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"), i.alias("i"))), lambda p: ~p["i"].isin(5, 6, 9, 10))
+    return c.files.select("file_id", M.scan_artifacts(border).alias("is_scan"))
 
 
 @query("text_to_vector")

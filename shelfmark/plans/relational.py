@@ -175,9 +175,10 @@ def drive_contents(c):
 
 @query("drive_summary_text", """WITH t AS (SELECT drive_number, count(*) AS n, min(substr(earliest, 1, 4)) AS a, max(substr(latest, 1, 4)) AS b FROM files LEFT JOIN dates USING (file_id) WHERE status = 'complete' GROUP BY 1)
 SELECT d.drive_number, concat_ws(', ', d.name || ': ' || coalesce(n, 0) || CASE WHEN n = 1 THEN ' photograph' ELSE ' photographs' END, CASE WHEN a = b THEN 'from ' || a ELSE 'from ' || a || ' to ' || b END,
-  CASE WHEN d.status = 'online' THEN 'connected' ELSE 'not connected' END, 'kept at ' || location) AS sentence FROM drives d LEFT JOIN t USING (drive_number)""")
+  'mostly ' || tags, CASE WHEN d.status = 'online' THEN 'connected' ELSE 'not connected' END, 'kept at ' || location) AS sentence FROM drives d LEFT JOIN t USING (drive_number)
+LEFT JOIN (SELECT drive_number, string_agg(name, ', ' ORDER BY n DESC, name) AS tags FROM (SELECT drive_number, t.name, count(*) AS n FROM file_tags t JOIN files f USING (file_id) WHERE tag_type <> 'person' AND f.status = 'complete' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY drive_number ORDER BY count(*) DESC, t.name) <= 3) GROUP BY 1) USING (drive_number)""")
 def drive_summary_text(c):
-    rows = R.drive_contents(c.drives, c.files, c.dates, c.file_tags.where("false"), c.faces).join(c.drives.select("drive_number", "status", "location"), "drive_number")
+    rows = R.drive_contents(c.drives, c.files, c.dates, c.file_tags, c.faces).join(c.drives.select("drive_number", "status", "location"), "drive_number")
     return rows.select("drive_number", R.summary_sentence(F.col("name"), F.col("photo_count"), F.col("earliest"), F.col("latest"), F.col("top_tags"), F.col("status") == "online", F.col("location")).alias("sentence"))
 
 
@@ -187,8 +188,8 @@ def tag_cloud(c):
     return counts.orderBy(F.desc("n"), "name").limit(12).orderBy(F.lower("name"))
 
 
-query("two_stage_sort", "SELECT name, n FROM (SELECT name, count(*) AS n FROM file_tags WHERE file_id < 500 GROUP BY 1 ORDER BY n DESC, name LIMIT 7) ORDER BY lower(name)")(
-    lambda c: c.file_tags.where("file_id < 500").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(7).orderBy(F.lower("name"))
+query("two_stage_sort", "SELECT name, n FROM (SELECT name, count(*) AS n FROM file_tags GROUP BY 1 ORDER BY n DESC, name LIMIT 7) ORDER BY lower(name)")(
+    lambda c: c.file_tags.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(7).orderBy(F.lower("name"))
 )
 
 
@@ -205,13 +206,14 @@ def locate_matches(c):
     return top.join(c.drives.select("drive_number", "location"), "drive_number").select("file_id", F.coalesce("location", F.lit("unknown")).alias("location"))
 
 
-@query("where_to_look", """WITH d AS (SELECT list_sort(list(DISTINCT drive_number)) AS l FROM (SELECT * FROM files ORDER BY size_bytes DESC, file_id LIMIT 4))
-SELECT CASE WHEN len(l) = 0 THEN 'Not found.' WHEN len(l) = 1 THEN 'Found on Drive ' || l[1] || '.' ELSE 'Found on Drives ' || array_to_string(l[:-2], ', ') || ' and ' || l[-1] || '.' END AS sentence FROM d""")
+@query("where_to_look", """WITH h AS (SELECT * FROM files ORDER BY size_bytes DESC, file_id LIMIT 9),
+m AS (SELECT drive_number AS d, count(*) AS n, any_value(drives.status) = 'online' AS online, any_value(location) AS location FROM h JOIN drives USING (drive_number) GROUP BY 1),
+x AS (SELECT list(d ORDER BY d) AS l, list(d ORDER BY n DESC, d)[1] AS best, max(n) AS most, list('Drive ' || d || CASE WHEN location IS NULL THEN '' ELSE ' (' || location || ')' END ORDER BY n DESC, d) FILTER (NOT online) AS off FROM m)
+SELECT CASE WHEN l IS NULL THEN 'Not found on any indexed drive.' ELSE concat('Found on ', CASE WHEN len(l) = 1 THEN 'Drive ' || l[1] ELSE 'Drives ' || array_to_string(l[:-2], ', ') || ' and ' || l[-1] END, '.',
+  CASE WHEN len(l) > 1 THEN ' Drive ' || best || ' has the most (' || most || ').' END, CASE WHEN off IS NOT NULL THEN ' Connect ' || array_to_string(off, ', ') || ' to open the originals.' END) END AS sentence FROM x""")
 def where_to_look(c):
-    found = c.files.orderBy(F.desc("size_bytes"), "file_id").limit(4).agg(F.transform(F.array_sort(F.collect_set("drive_number")), lambda x: x.cast("string")).alias("l"))
-    l, n = F.col("l"), F.size("l")
-    many = F.concat(F.lit("Found on Drives "), F.array_join(F.slice(l, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(l, -1), F.lit("."))
-    return found.select(F.when(n == 0, "Not found.").when(n == 1, F.concat(F.lit("Found on Drive "), F.try_element_at(l, F.lit(1)), F.lit("."))).otherwise(many).alias("sentence"))
+    hits = c.files.orderBy(F.desc("size_bytes"), "file_id").limit(9)
+    return R.where_to_look(hits.groupBy("drive_number").agg(F.count("*").alias("n")), c.drives)
 
 
 @query("drive_coverage", """WITH k AS (SELECT drive_number, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed FROM files GROUP BY 1),
@@ -235,8 +237,16 @@ def estimate_indexing(c):
     return R.throughput(c.runs).select("files_per_second", F.round(hours, 4).alias("hours"), (hours > 10).alias("is_long"))
 
 
-@query("scan_stats", "SELECT coalesce(lower(extension), '?') AS extension, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, count(DISTINCT drive_number) AS drives FROM files WHERE status = 'complete' GROUP BY 1")
+@query("scan_stats", """WITH f AS (SELECT drive_number, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files WHERE status = 'complete' GROUP BY 1),
+a AS (SELECT drive_number, count(*) AS faces, count(DISTINCT person_id) AS people FROM (SELECT f.drive_number, c.person_id FROM faces JOIN files f USING (file_id) LEFT JOIN clusters c USING (cluster_id)) GROUP BY 1),
+t AS (SELECT drive_number, count(*) AS tags FROM file_tags JOIN files USING (file_id) GROUP BY 1)
+SELECT drive_number, coalesce(files, 0) AS files, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(faces, 0) AS faces, coalesce(tags, 0) AS tags, coalesce(people, 0) AS people FROM drives LEFT JOIN f USING (drive_number) LEFT JOIN a USING (drive_number) LEFT JOIN t USING (drive_number)""")
 def scan_stats(c):
+    return R.scan_stats(c.drives, c.files, c.faces, c.clusters, c.file_tags)
+
+
+@query("scan_extensions", "SELECT coalesce(lower(extension), '?') AS extension, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, count(DISTINCT drive_number) AS drives FROM files WHERE status = 'complete' GROUP BY 1")
+def scan_extensions(c):
     return R.complete(c.files).groupBy(F.coalesce(F.lower("extension"), F.lit("?")).alias("extension")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.count_distinct("drive_number").alias("drives"))
 
 
@@ -326,7 +336,7 @@ _TWO = """WITH h AS (SELECT content_hash, bool_or(drive_number = 1) AS a, bool_o
 t AS (SELECT count(*) FILTER (a AND b) AS shared, count(*) FILTER (a) AS a_total, count(*) FILTER (b) AS b_total, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, coalesce(sum(s) FILTER (a AND NOT b), 0)::BIGINT AS only_a_bytes, coalesce(sum(s) FILTER (b AND NOT a), 0)::BIGINT AS only_b_bytes FROM h)"""
 
 
-@query("compare_drives", _TWO + " SELECT *, round(CASE WHEN greatest(a_total, b_total) > 0 THEN shared * 100.0::DOUBLE / greatest(a_total, b_total) ELSE 0 END, 6) AS overlap, CASE WHEN shared = 0 THEN 'nothing in common' WHEN only_a = 0 AND only_b = 0 THEN 'identical' WHEN only_a = 0 THEN 'the first is contained in the second' WHEN only_b = 0 THEN 'the second is contained in the first' ELSE 'partly the same' END AS sentence FROM t")
+@query("compare_drives", _TWO + " SELECT *, round(CASE WHEN greatest(a_total, b_total) > 0 THEN shared * 100.0::DOUBLE / greatest(a_total, b_total) ELSE 0 END, 6) AS overlap, CASE WHEN shared = 0 THEN 'Drives 1 and 2 have nothing in common.' WHEN only_a = 0 AND only_b = 0 THEN format('Drives 1 and 2 are identical — same {} files.', shared) WHEN only_b = 0 THEN format('Drive 2 is contained in drive 1: everything on 2 is also on 1, and 1 holds {} more.', only_a) WHEN only_a = 0 THEN format('Drive 1 is contained in drive 2: everything on 1 is also on 2, and 2 holds {} more.', only_b) ELSE format('Drives 1 and 2 are {:.1f}% identical: {} files in common, {} only on 1, {} only on 2.', shared * 100.0::DOUBLE / greatest(a_total, b_total), shared, only_a, only_b) END AS sentence FROM t")
 def compare_drives(c):
     return R.compare_two(c.files, 1, 2)
 

@@ -8,6 +8,7 @@ from shelfmark.functions import dates as D
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
 from shelfmark.plans.registry import query
+from shelfmark.sources import filesystem
 
 _DOC = "doc_id"
 
@@ -18,8 +19,7 @@ def _docs(c):
 
 @query("fs_enumerate", "SELECT relative_path, extension FROM files WHERE extension IN ('en', 'de') AND relative_path NOT LIKE '%shoot_3%' ORDER BY relative_path")
 def fs_enumerate(c):
-    path = F.col("relative_path")
-    return c.files.where(F.lower("extension").isin("en", "de") & ~T.excluded(path, "shoot_3") & ~T.system_file(path)).select("relative_path", "extension").orderBy("relative_path")
+    return filesystem.listed(c.files, ("en", "de"), ("shoot_3",)).select("relative_path", "extension").orderBy("relative_path")
 
 
 @query("ext_filter", "SELECT page_id FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)([?#].*)?$', 1)) IN ('html', 'htm')")
@@ -47,14 +47,14 @@ def path_containment(c):
     return c.files.select("file_id", T.contained(path, "/root").alias("safe"))
 
 
-@query("sanitize_fts", """SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(list_filter(regexp_split_to_array(substr(text, 1, 80), '\\s+'), lambda w: regexp_matches(w, '[A-Za-z0-9]')), lambda w: trim(regexp_replace(w, '[^A-Za-z0-9]+', ' ', 'g'))), lambda p: length(p) > 0), lambda p: '"' || p || '"'), ' OR ') AS q FROM documents""")
+@query("sanitize_fts", r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[\t-\r \x{85}\p{Z}]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]')), lambda w: '"' || trim(regexp_replace(w, '[^\p{L}\p{N}]+', ' ', 'g')) || '"'), ' OR ') AS q FROM documents""")
 def sanitize_fts(c):
-    return _docs(c).select(_DOC, T.sanitize_query(F.substring("text", 1, 80)).alias("q"))
+    return _docs(c).select(_DOC, T.sanitize_query(F.col("text")).alias("q"))
 
 
-@query("folder_key", "WITH p AS (SELECT file_id, extension, CASE file_id % 4 WHEN 0 THEN 'DCIM/raw/' || extension || '/x.jpg' WHEN 1 THEN 'x.jpg' WHEN 2 THEN 'dcim/RAW/x.jpg' ELSE relative_path END AS p FROM files) SELECT file_id, CASE file_id % 4 WHEN 0 THEN extension WHEN 1 THEN '(top of the drive)' WHEN 2 THEN 'RAW' ELSE split_part(p, '/', 1) END AS folder FROM p")
+@query("folder_key", "WITH p AS (SELECT file_id, extension, CASE file_id % 5 WHEN 0 THEN 'Pictures/desktop/' || extension || '/raw/x.jpg' WHEN 1 THEN 'x.jpg' WHEN 2 THEN 'Downloads/x.jpg' WHEN 3 THEN 'raw/' || relative_path ELSE relative_path END AS p FROM files) SELECT file_id, CASE file_id % 5 WHEN 0 THEN extension WHEN 1 THEN '(top of the drive)' WHEN 2 THEN '(top of the drive)' ELSE split_part(p, '/', 1) END AS folder FROM p")
 def folder_key(c):
-    path = F.expr("CASE file_id % 4 WHEN 0 THEN concat('DCIM/raw/', extension, '/x.jpg') WHEN 1 THEN 'x.jpg' WHEN 2 THEN 'dcim/RAW/x.jpg' ELSE relative_path END")
+    path = F.expr("CASE file_id % 5 WHEN 0 THEN concat('Pictures/desktop/', extension, '/raw/x.jpg') WHEN 1 THEN 'x.jpg' WHEN 2 THEN 'Downloads/x.jpg' WHEN 3 THEN concat('raw/', relative_path) ELSE relative_path END")
     return c.files.select("file_id", T.folder_key(path).alias("folder"))
 
 
@@ -73,27 +73,28 @@ def sql_like_nocase(c):
     return c.people.select("person_id", T.fold_nocase(F.col("name")).alias("folded"))
 
 
-@query("fold_accents", f"SELECT doc_id, translate(substr(text, 1, 200), '{T.ACCENTED}', '{T.PLAIN}') AS plain FROM documents")
+@query("fold_accents", f"SELECT doc_id, translate(text, '{T.ACCENTED}', '{T.PLAIN}') AS plain FROM documents")
 def fold_accents(c):
-    return _docs(c).select(_DOC, T.fold_accents(F.substring("text", 1, 200)).alias("plain"))
+    return _docs(c).select(_DOC, T.fold_accents(F.col("text")).alias("plain"))
 
 
-_NORM = f"trim(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 120)), '{T.ACCENTED}', '{T.PLAIN}'), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_CASED = f"trim(regexp_replace(regexp_replace(translate(text, '{T.ACCENTED}', '{T.PLAIN_CASED}'), '[''’]', '', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))"
+_NORM = f"lower({_CASED})"
 
 
-@query("normalise_with_case", f"SELECT doc_id, {_NORM} AS norm FROM documents")
+@query("normalise_with_case", f"SELECT doc_id, {_NORM} AS norm, regexp_replace(regexp_replace({_CASED}, '[^A-Z]', '0', 'g'), '[A-Z]', '1', 'g') AS mask FROM documents")
 def normalise_with_case(c):
-    return _docs(c).select(_DOC, T.normalise(F.substring("text", 1, 120)).alias("norm"))
+    return _docs(c).select(_DOC, T.normalise(F.col("text")).alias("norm"), T.case_mask(F.col("text")).alias("mask"))
 
 
 @query("to_tag", f"SELECT doc_id, replace({_NORM}, ' ', '-') AS tag FROM documents")
 def to_tag(c):
-    return _docs(c).select(_DOC, T.to_tag(F.substring("text", 1, 120)).alias("tag"))
+    return _docs(c).select(_DOC, T.to_tag(F.col("text")).alias("tag"))
 
 
-@query("xml_escape", "SELECT page_id, replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS x FROM pages")
+@query("xml_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS x FROM pages")
 def xml_escape(c):
-    return c.table("pages").select("page_id", T.xml_escape(F.substring("html", 1, 300)).alias("x"))
+    return c.table("pages").select("page_id", T.xml_escape(F.col("html")).alias("x"))
 
 
 @query("parse_size", "SELECT file_id, CASE file_id % 4 WHEN 0 THEN file_id WHEN 1 THEN file_id * 1024 WHEN 2 THEN file_id * 1073741824 ELSE NULL END AS bytes FROM files")
@@ -129,8 +130,8 @@ CASE WHEN cap THEN e WHEN dig THEN y || '-12-31' WHEN fy BETWEEN 1900 AND 2100 T
 concat_ws(', ', CASE WHEN cap THEN 'capture date' END, CASE WHEN dig THEN 'digitised' END, CASE WHEN fy BETWEEN 1900 AND 2100 THEN 'year in name' END, CASE WHEN grey THEN 'grey' END, CASE WHEN scan THEN 'scanned print' END) AS evidence FROM x""")
 def estimate_date(c):
     dig = F.expr("CASE WHEN file_id % 3 = 0 THEN earliest END")
-    x = D.estimate(F.expr(_CAP), dig, F.expr("1890 + file_id % 300"), F.expr("file_id % 5 = 0"), F.expr("file_id % 7 = 0"))
-    return c.dates.select("file_id", x.alias("x")).select("file_id", "x.*")
+    rows = c.dates.select("file_id", F.expr(_CAP).alias("capture"), dig.alias("digitised"), F.expr("1890 + file_id % 300").alias("name_year"), F.expr("file_id % 5 = 0").alias("scan"), F.expr("file_id % 7 = 0").alias("grey"))
+    return D.with_estimate(rows).select("file_id", "earliest", "latest", "confidence", "evidence")
 
 
 @query("parse_ymd", "SELECT file_id, CASE file_id % 4 WHEN 0 THEN earliest WHEN 1 THEN substr(earliest, 1, 4) || '-01-01' WHEN 2 THEN '2001-02-30' END AS d FROM dates")
@@ -154,9 +155,12 @@ def parse_epoch(c):
     return c.dates.select("file_id", D.parse_epoch(F.expr("CASE WHEN file_id % 2 = 0 THEN concat(earliest, 'T01:02:03Z') ELSE earliest END")).alias("s"))
 
 
-@query("describe_date", "SELECT file_id, CASE WHEN confidence < 0.2 THEN 'Date uncertain' WHEN earliest = latest THEN 'Taken ' || earliest WHEN substr(earliest, 1, 4) = substr(latest, 1, 4) THEN 'Some time in ' || substr(earliest, 1, 4) ELSE 'Between ' || substr(earliest, 1, 4) || ' and ' || substr(latest, 1, 4) END AS words FROM dates")
+@query("describe_date", """SELECT file_id, CASE WHEN confirmed AND earliest = latest THEN concat('Taken on ', earliest) WHEN confirmed THEN concat('Between ', earliest, ' and ', latest, ' (confirmed)')
+  WHEN file_id % 3 = 0 THEN concat('Taken on ', earliest) WHEN file_id % 3 = 1 THEN concat('Digitised around ', year(latest::DATE), '; original date unknown')
+  WHEN earliest = latest THEN concat('Around ', earliest) WHEN confidence < 0.2 THEN 'Date uncertain' ELSE concat('Likely taken between ', year(earliest::DATE), ' and ', year(latest::DATE)) END AS words FROM dates""")
 def describe_date(c):
-    return c.dates.select("file_id", D.describe(F.col("earliest"), F.col("latest"), F.col("confidence")).alias("words"))
+    source = F.expr("element_at(array('capture', 'digitised', 'name'), cast(file_id % 3 AS int) + 1)")
+    return c.dates.select("file_id", D.describe(F.col("earliest"), F.col("latest"), F.col("confidence"), source, F.col("confirmed")).alias("words"))
 
 
 @query("age_minutes", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN NULL ELSE floor((epoch('2005-01-01'::TIMESTAMP) - epoch(earliest::TIMESTAMP) - 90) / 60)::BIGINT END AS m FROM dates")

@@ -116,12 +116,21 @@ query("tag_count", "SELECT count(*) AS n FROM files WHERE status = 'complete' AN
     lambda c: tag_browse(c).agg(F.count("*").alias("n"))
 )
 
-@query("query_lexicon", "WITH w AS (SELECT doc_id, unnest(list_slice(" + _TOK + ", 1, 40)) AS w FROM documents) SELECT doc_id, round(count(*) FILTER (w IN ('de', 'en', 'the'))::DOUBLE / nullif(count(*), 0), 6) AS coverage FROM w GROUP BY 1")
+LEXICON = {"sea": "water", "ocean": "water", "wave": "water", "tree": "forest", "forest": "forest", "data": "data", "report": "data"}
+STOPWORDS = ["the", "a", "of", "and", "in", "on", "der", "die", "und", "la", "le", "de"]
+PHRASES = {"black and white": "monochrome", "of the sea": "ocean"}
+_LEX = "CASE " + " ".join(f"WHEN {{t}} = '{k}' THEN '{v}'" for k, v in LEXICON.items()) + " END"
+_FOLDED = "replace(replace(lower(text), 'black and white', 'monochrome'), 'of the sea', 'ocean')"
+_LEXICON = f"""WITH t AS (SELECT doc_id, list_filter(list_filter(regexp_split_to_array({_FOLDED}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: x NOT IN ({', '.join(repr(w) for w in STOPWORDS)})) AS w FROM documents),
+h AS (SELECT doc_id, w, list_filter(list_transform(w, lambda t: coalesce({_LEX.format(t='t')}, CASE WHEN suffix(t, 's') AND length(t) >= 4 THEN {_LEX.format(t='t[:-2]')} END)), lambda x: x IS NOT NULL) AS found FROM t)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN round(len(found)::DOUBLE / len(w), 6) ELSE 0.0 END::DOUBLE AS coverage, array_to_string(list_sort(list_distinct(found)), ',') AS matched FROM h"""
+
+
+@query("query_lexicon", _LEXICON)
 def query_lexicon(c):
-    lexicon = c.spark.createDataFrame([("de",), ("en",), ("the",)], "w string")  # a fixed lexicon
-    words = c.table("documents").select("doc_id", F.explode(F.slice(S.tokens(F.col("text")), 1, 40)).alias("w"))
-    hit = words.join(F.broadcast(lexicon.withColumn("hit", F.lit(1))), "w", "left")
-    return hit.groupBy("doc_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
+    found = S.lexicon(F.col("text"), LEXICON, STOPWORDS, PHRASES)
+    rows = c.table("documents").select("doc_id", found.alias("x"))
+    return rows.select("doc_id", F.round("x.coverage", 6).alias("coverage"), F.array_join(F.array_sort("x.matched"), ",").alias("matched"))
 
 
 _FACE = "SELECT a.face_id AS x, b.person_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS s FROM faces a JOIN faces b ON NOT a.confirmed AND b.confirmed"

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.shipping import ship
 
-#: Files that the derived side tables spread over.
-SPREAD = 1000
-
 
 class Catalogue:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -54,7 +51,7 @@ class Catalogue:
     @cached_property
     def file_tags(self) -> DataFrame:
         parts = self.table("part").selectExpr("p_partkey AS l_partkey", "lower(p_brand) AS name", "CASE p_size % 7 WHEN 0 THEN 'person' WHEN 1 THEN 'event' ELSE 'object' END AS tag_type")
-        items = self.table("lineitem").selectExpr("l_partkey", f"l_orderkey % {SPREAD} AS file_id", "l_discount * 10 AS confidence")
+        items = self.table("lineitem").selectExpr("l_partkey", "l_orderkey AS file_id", "l_discount * 10 AS confidence")
         return items.join(parts, "l_partkey").groupBy("file_id", "name", "tag_type").agg(F.max("confidence").alias("confidence"))
 
     @cached_property
@@ -64,7 +61,7 @@ class Catalogue:
     @cached_property
     def faces(self) -> DataFrame:
         return self.table("embeddings").selectExpr(
-            "vec_id AS face_id", f"(vec_id * 7) % {SPREAD} AS file_id", "vec_id % 50 AS cluster_id", "vec_id % 3 = 0 AS confirmed", "label AS person_id",
+            "vec_id AS face_id", "vec_id AS file_id", "vec_id % 50 AS cluster_id", "vec_id % 3 = 0 AS confirmed", "label AS person_id",
             "((vec_id * 37) % 100) / 100.0D AS quality", "vec_id % 17 = 0 AS is_ignored", "vec_id % 19 = 0 AS is_false", "embedding",
         )
 
@@ -101,16 +98,16 @@ class Catalogue:
 
 
 #: The same tables for DuckDB, over views of the supplied tables.
-VIEWS = f"""
+VIEWS = """
 files AS (SELECT doc_id AS file_id, substr(source, 4)::INT AS drive_number, concat(source, '/', lang, '/shoot_', doc_id % 37, '/img_', doc_id, '.', lang) AS relative_path,
   concat('img_', doc_id, '.', lang) AS filename, lang AS extension, n_chars AS size_bytes, sha256(text) AS content_hash,
   CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'complete' END AS status, (doc_id * 1000003) % 1000000007 AS mtime_ns, doc_id AS ingest_seq, text FROM documents),
 drives AS (SELECT drive_number, name, CASE drive_number % 3 WHEN 0 THEN 'offline' ELSE 'online' END AS status, CASE WHEN drive_number % 4 = 0 THEN NULL ELSE concat('Shelf ', drive_number % 5) END AS location, '/Volumes/' || name AS root
   FROM (SELECT DISTINCT source AS name, substr(source, 4)::INT AS drive_number FROM documents UNION ALL SELECT 'spare', 99)),
-file_tags AS (SELECT l_orderkey % {SPREAD} AS file_id, lower(p_brand) AS name, CASE p_size % 7 WHEN 0 THEN 'person' WHEN 1 THEN 'event' ELSE 'object' END AS tag_type, max(l_discount * 10) AS confidence
+file_tags AS (SELECT l_orderkey AS file_id, lower(p_brand) AS name, CASE p_size % 7 WHEN 0 THEN 'person' WHEN 1 THEN 'event' ELSE 'object' END AS tag_type, max(l_discount * 10) AS confidence
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 dates AS (SELECT o_orderkey AS file_id, strftime(o_orderdate, '%Y-%m-%d') AS earliest, strftime(o_orderdate + to_days((o_orderkey % 5)::INT), '%Y-%m-%d') AS latest, o_orderstatus = 'F' AS confirmed, o_orderkey % 100 / 100.0::DOUBLE AS confidence FROM orders),
-faces AS (SELECT vec_id AS face_id, (vec_id * 7) % {SPREAD} AS file_id, vec_id % 50 AS cluster_id, vec_id % 3 = 0 AS confirmed, label AS person_id, ((vec_id * 37) % 100) / 100.0::DOUBLE AS quality, vec_id % 17 = 0 AS is_ignored, vec_id % 19 = 0 AS is_false, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings),
+faces AS (SELECT vec_id AS face_id, vec_id AS file_id, vec_id % 50 AS cluster_id, vec_id % 3 = 0 AS confirmed, label AS person_id, ((vec_id * 37) % 100) / 100.0::DOUBLE AS quality, vec_id % 17 = 0 AS is_ignored, vec_id % 19 = 0 AS is_false, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings),
 clusters AS (SELECT id AS cluster_id, CASE WHEN id % 4 = 3 THEN NULL ELSE (id % 10)::INT END AS person_id, ['confirmed', 'suggested', 'rejected', 'unnamed'][id % 4 + 1] AS status FROM range(52) t(id)),
 people AS (SELECT id::INT AS person_id, concat(CASE WHEN id % 2 = 0 THEN 'Person ' ELSE 'PERSON ' END, id % 9) AS name, CASE WHEN id % 4 = 3 THEN NULL ELSE ['family', 'friend', 'client'][id % 4 + 1] END AS relationship FROM range(12) t(id)),
 captures AS (SELECT event_id AS file_id, user_id AS owner, ts, epoch_us(ts) AS us, value, event_type, props FROM events),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +14,39 @@ from shelfmark.functions import text as T
 EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "psd")
 
 
+def listed(files: DataFrame, extensions: tuple[str, ...], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Of files with a relative_path and an extension those that a listing shows."""
+    path = F.col("relative_path")
+    out = files.where(F.lower("extension").isin(*extensions) & ~T.system_file(path))
+    for pattern in exclude:
+        out = out.where(~T.excluded(path, pattern))
+    return out
+
+
+def _inside(root: str):
+    """Whether a path on a local disk is below `root` once links are followed."""
+    top = os.path.realpath(root)
+
+    @F.pandas_udf("boolean")
+    def inside(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: os.path.realpath(p).startswith(top + os.sep))
+
+    return inside
+
+
 def enumerate_files(spark: SparkSession, root: str, extra: tuple[str, ...] = (), exclude: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Files below a root: relative_path, extension, size_bytes, modified. Contents aren't read.
 
-    Links aren't followed. With `most`, the first that many in order of path.
+    A link that leads out of the root isn't followed; only local disks have links. With
+    `most`, the first that many in order of path.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     path = F.regexp_replace("path", "^(file:)?/+", "/")
     relative = F.substr(path, F.lit(len(root.rstrip("/")) + 2))
+    if "://" not in root:
+        files = files.where(_inside(root)(path))
     out = files.select(relative.alias("relative_path"), F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-    out = out.where(F.col("extension").isin(*EXTENSIONS, *(e.lower() for e in extra)) & ~T.system_file(F.col("relative_path")))
-    for pattern in exclude:
-        out = out.where(~T.excluded(F.col("relative_path"), pattern))
-    out = out.orderBy("relative_path")
+    out = listed(out, (*EXTENSIONS, *(e.lower() for e in extra)), exclude).orderBy("relative_path")
     return out if most is None else out.limit(most)
 
 

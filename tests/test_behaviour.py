@@ -55,13 +55,13 @@ def _files(spark, *drives):
 
 def test_identical_collections(spark):
     r = rollups.compare_two(_files(spark, (1, "abc"), (2, "abc")), 1, 2).first()
-    assert (r.shared, r.only_a, r.only_b, r.overlap, r.sentence) == (3, 0, 0, 100.0, "identical")
+    assert (r.shared, r.only_a, r.only_b, r.overlap, r.sentence) == (3, 0, 0, 100.0, "Drives 1 and 2 are identical — same 3 files.")
 
 
 def test_contained_collection(spark):
     many = [f"h{i}" for i in range(100)]
     r = rollups.compare_two(_files(spark, (1, many), (2, many[:10])), 1, 2).first()
-    assert (r.overlap, r.sentence) == (10.0, "the second is contained in the first")
+    assert (r.overlap, r.sentence) == (10.0, "Drive 2 is contained in drive 1: everything on 2 is also on 1, and 1 holds 90 more.")
 
 
 def test_copies_within_a_collection_count_once(spark):
@@ -95,10 +95,10 @@ def test_reversed_range_is_swapped(spark):
 
 
 def test_no_evidence_is_uncertain(spark):
-    none = F.lit(None).cast("string")
-    x = _one(spark, D.estimate(none, none, F.lit(None).cast("int"), F.lit(False), F.lit(False)))
+    rows = spark.sql("SELECT cast(null AS string) AS capture, cast(null AS string) AS digitised, cast(null AS int) AS name_year, false AS scan, false AS grey")
+    x = D.with_estimate(rows).first()
     assert x.confidence < 0.2
-    assert _one(spark, D.describe(F.lit(x.earliest), F.lit(x.latest), F.lit(x.confidence))) == "Date uncertain"
+    assert _one(spark, D.describe(F.lit(x.earliest), F.lit(x.latest), F.lit(x.confidence), F.lit("none"), F.lit(False))) == "Date uncertain"
 
 
 @pytest.mark.parametrize("text,seconds", [("1970-01-01", 0), ("2000-02-29T00:00:01Z", 951782401), ("1969-12-31", -86400), ("2001-02-30", 983491200), ("junk", None)])
@@ -106,12 +106,12 @@ def test_parse_epoch(spark, text, seconds):
     assert _one(spark, D.parse_epoch(F.lit(text))) == seconds
 
 
-@pytest.mark.parametrize("q,out", [("likely-scan", '"likely scan"'), ("a -- b", '"a" OR "b"'), ("'; drop", '"drop"'), ("", "")])
+@pytest.mark.parametrize("q,out", [("likely-scan", '"likely scan"'), ("a -- b", '"a" OR "b"'), ("'; drop", '"drop"'), ("", ""), ("café 結婚 a-b", '"café" OR "結婚" OR "a b"'), ("x\u00a0y", '"x" OR "y"')])
 def test_sanitize(spark, q, out):
     assert _one(spark, T.sanitize_query(F.lit(q))) == out
 
 
-@pytest.mark.parametrize("path,key", [("DCIM/Wedding/raw/x.jpg", "Wedding"), ("x.jpg", "(top of the drive)"), ("raw/x.jpg", "raw")])
+@pytest.mark.parametrize("path,key", [("DCIM/Wedding/raw/x.jpg", "DCIM"), ("x.jpg", "(top of the drive)"), ("raw/x.jpg", "raw"), ("raw/Wedding/x.jpg", "raw"), ("Pictures/Desktop/Shoot/edits/x.jpg", "Shoot"), ("Users/x.jpg", "(top of the drive)"), ("Shoot/Pictures/x.jpg", "Shoot")])
 def test_folder_key(spark, path, key):
     assert _one(spark, T.folder_key(F.lit(path))) == key
 
@@ -198,7 +198,7 @@ def test_enumerate_files(spark, tmp_path):
     assert got == ["a/x.JPG", "b/y.txt"]
 
 
-@pytest.mark.parametrize("text,found", [("Red Bull and bull", ["red bull"]), ("apple pie", []), ("an Apple a day", ["apple"]), ("coca cola zero, Cola", ["coca cola"])])
+@pytest.mark.parametrize("text,found", [("Red Bull and bull", ["red bull"]), ("apple pie", []), ("an Apple a day", []), ("an APPLE a day", ["apple"]), ("coca cola zero, Cola", ["coca cola"])])
 def test_brands(text, found):
     from shelfmark.functions.mining import find_brands
 
@@ -232,3 +232,66 @@ def test_engines_fall_back_and_later_ones_win(spark):
     registry.register("caption", Engine("b", "2", 0.9, lambda s: s.fillna("") + "?"))
     again = rows.select(registry.analyse("caption", F.col("t"), "string").alias("r")).select("r.*").collect()
     assert [(r.value, r.model_version) for r in again] == [("abc?", "2"), ("?", "2")]
+
+
+def test_accents_and_capitals(spark):
+    assert _one(spark, T.fold_accents(F.lit("Éléonore Škoda ñ"))) == "eleonore skoda ñ"
+    assert _one(spark, T.normalise(F.lit("  MOËT & Chandon's Ñ1 "))) == "moet chandons 1"
+    assert _one(spark, T.case_mask(F.lit("  MOËT & Chandon's Ñ1 "))) == "111101000000000"[:15]
+
+
+def test_ambiguous_brands_are_in_capitals():
+    from shelfmark.functions.mining import find_brands
+
+    odd = frozenset(["apple", "moet"])
+    assert find_brands("An Apple a day", ["apple"], odd) == []
+    assert find_brands("an APPLE, MOËT", ["apple", "moet"], odd) == ["apple", "moet"]
+    assert find_brands("Moët Citroen", ["Citroën"], odd) == ["Citroën"]
+
+
+@pytest.mark.parametrize("args,words", [
+    (("2001-01-01", "2001-01-01", 0.9, "name", True), "Taken on 2001-01-01"),
+    (("2001-01-01", "2002-01-01", 0.9, "capture", True), "Between 2001-01-01 and 2002-01-01 (confirmed)"),
+    (("2001-01-01", "2001-01-01", 0.9, "capture", False), "Taken on 2001-01-01"),
+    (("1900-01-01", "2004-12-31", 0.2, "digitised", False), "Digitised around 2004; original date unknown"),
+    (("2001-01-01", "2001-01-01", 0.1, "name", False), "Around 2001-01-01"),
+    (("1970-01-01", "2025-12-31", 0.1, "name", False), "Date uncertain"),
+    (("1987-01-01", "1988-12-31", 0.5, "name", False), "Likely taken between 1987 and 1988"),
+])
+def test_describe(spark, args, words):
+    assert _one(spark, D.describe(*map(F.lit, args))) == words
+
+
+def test_no_terms_find_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert search.bm25(docs, []).collect() == []
+
+
+def test_lexicon(spark):
+    read = lambda t: _one(spark, search.lexicon(F.lit(t), {"sea": "water", "ocean": "water", "gas": "gas"}, ["the"], {"of the sea": "ocean"}))
+    assert read("The seas and gas") == (2 / 3, ["water", "gas"])
+    assert read("queen OF THE SEA") == (0.5, ["water"])
+    assert read("the") == (0.0, []) and read("ga s") == (0.0, [])
+
+
+def test_links_out_of_the_root_are_not_followed(spark, tmp_path):
+    from shelfmark.sources import filesystem
+
+    root, other = tmp_path / "root", tmp_path / "other"
+    (root / "in").mkdir(parents=True)
+    other.mkdir()
+    for f in (root / "in" / "a.jpg", other / "b.jpg"):
+        f.write_bytes(b"x")
+    (root / "out").symlink_to(other)
+    (root / "c.jpg").symlink_to(other / "b.jpg")
+    (root / "again").symlink_to(root / "in")
+    assert {r.relative_path for r in filesystem.enumerate_files(spark, str(root)).collect()} == {"in/a.jpg", "again/a.jpg"}
+
+
+def test_where_to_look(spark):
+    from shelfmark.operators import rollups
+
+    drives = spark.createDataFrame([(1, "online", None), (5, "offline", "Drawer 2"), (6, "offline", None)], "drive_number int, status string, location string")
+    tell = lambda rows: rollups.where_to_look(spark.createDataFrame(rows, "drive_number int, n long"), drives).first()[0]
+    assert tell([(1, 2), (5, 9), (6, 2)]) == "Found on Drives 1, 5 and 6. Drive 5 has the most (9). Connect Drive 5 (Drawer 2), Drive 6 to open the originals."
+    assert tell([(1, 2)]) == "Found on Drive 1." and tell([]) == "Not found on any indexed drive."
