@@ -43,20 +43,38 @@ def rank_score(c):
 _COS = "list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0))"
 
 
-@query("vector_topk_exact", f"SELECT vec_id, round({_COS}, 4) AS score FROM embeddings ORDER BY round({_COS}, 6) DESC, vec_id LIMIT 20")
+_ASK = "vec_id % 50 = 0"  # the stated query set
+_EACH = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, v.vec_id, v.label, list_cosine_similarity(v.e, q.e) AS s FROM v, v q WHERE q.vec_id % 50 = 0)"""
+
+
+def _nearest(c, k: int, others: bool = False, where: str = "true"):
+    rows = c.table("embeddings")
+    return vector_index.nearest(rows.where(where), rows.where(_ASK), k, others=others)
+
+
+@query("vector_topk_exact", _EACH + " SELECT query, vec_id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 20")
 def vector_topk_exact(c):
-    return V.top_k(c.table("embeddings"), _vector(c, 0), 20).select("vec_id", F.round("score", 4).alias("score"))
+    return _nearest(c, 20).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
-query("topk_vector", f"SELECT vec_id FROM embeddings ORDER BY round({_COS}, 6) DESC, vec_id LIMIT 5")(lambda c: V.top_k(c.table("embeddings"), _vector(c, 0), 5).select("vec_id"))
+query("topk_vector", _EACH + " SELECT query, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 5")(lambda c: _nearest(c, 5).select("query", "vec_id"))
 
 
 _Q8 = "list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 127))"
 
 
-@query("vector_topk_quantised", f"WITH q AS (SELECT vec_id, {_Q8} AS q FROM embeddings), o AS (SELECT q AS o FROM q WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(q, o) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(o, o))), 6) AS score FROM q, o ORDER BY score DESC, vec_id LIMIT 20")
+_QUANT = f"""WITH q AS (SELECT vec_id, {_Q8} AS q FROM embeddings), s AS (SELECT o.vec_id AS query, q.vec_id, round(list_dot_product(q.q, o.q) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(o.q, o.q))), 6) AS score FROM q, q o WHERE o.vec_id % 50 = 0)"""
+
+
+def _quantised(c, k: int):
+    rows = c.table("embeddings")
+    return vector_index.search_all(vector_index.build(rows), rows.where(_ASK), k)
+
+
+@query("vector_topk_quantised", _QUANT + " SELECT query, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 20")
 def vector_topk_quantised(c):
-    return S.quantised_top_k(c.table("embeddings"), _vector(c, 0), 20)
+    return _quantised(c, 20).select("query", "vec_id", "score")
 
 
 @query("vector_index_build", f"SELECT vec_id, len(embedding) AS dim, sqrt(list_dot_product(q, q))::DOUBLE AS norm FROM (SELECT *, {_Q8} AS q FROM embeddings)".replace("sqrt(list_dot_product(q, q))::DOUBLE", "round(sqrt(list_dot_product(q, q)), 6)"))
@@ -67,20 +85,22 @@ def vector_index_build(c):
     return checked.select("vec_id", "dim", F.round(F.sqrt(F.aggregate("q", F.lit(0), lambda s, x: s + x * x).cast("double")), 6).alias("norm"))
 
 
-@query("vector_index_append", "SELECT vec_id FROM embeddings WHERE vec_id % 4 = 1")
+@query("vector_index_append", "SELECT vec_id, vec_id % 4 = 1 AS appended, md5(concat_ws(':', (SELECT count(*) FROM embeddings), (SELECT max(vec_id) FROM embeddings))) AS fingerprint FROM embeddings")
 def vector_index_append(c):
-    rows = c.table("embeddings").select("vec_id")
-    return rows.join(rows.where("vec_id % 4 <> 1"), "vec_id", "left_anti")
+    rows = c.table("embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 4 == 1, "2024-02-01").otherwise("2024-01-01").alias("created_at"))
+    index, _ = vector_index.append_new(vector_index.build(rows.where("vec_id % 4 <> 1")), rows, "2024-02-01")
+    state = F.broadcast(vector_index.fingerprint(index).select("fingerprint"))  # one row
+    return index.select("vec_id", (F.col("vec_id") % 4 == 1).alias("appended")).join(state, F.lit(True))
 
 
-@query("similar_to", f"SELECT vec_id FROM embeddings WHERE vec_id <> 0 ORDER BY round({_COS}, 6) DESC, vec_id LIMIT 10")
+@query("similar_to", _EACH + " SELECT query, vec_id FROM s WHERE query <> vec_id QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 10")
 def similar_to(c):
-    return V.top_k(c.table("embeddings").where("vec_id <> 0"), _vector(c, 0), 10).select("vec_id")
+    return _nearest(c, 10, others=True).select("query", "vec_id")
 
 
-@query("vector_search_filtered", f"SELECT vec_id FROM embeddings WHERE label = 3 ORDER BY round({_COS}, 6) DESC, vec_id LIMIT 10")
+@query("vector_search_filtered", _EACH + " SELECT query, vec_id FROM s WHERE label = 3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 10")
 def vector_search_filtered(c):
-    return V.top_k(c.table("embeddings").where("label = 3"), _vector(c, 0), 10).select("vec_id")
+    return _nearest(c, 10, where="label = 3").select("query", "vec_id")
 
 
 query("overfetch", f"WITH a AS (SELECT vec_id, label, {_COS} AS s FROM embeddings), t AS (SELECT * FROM a ORDER BY round(s, 6) DESC, vec_id LIMIT 200) SELECT vec_id FROM t WHERE label = 3 ORDER BY round(s, 6) DESC, vec_id LIMIT 10")(
@@ -223,7 +243,6 @@ def cluster_snapshot(c):
     return back.agg(F.count("*").alias("n"), F.sum(F.col("p")[0] * 100 + F.col("p")[1]).alias("mark"))
 
 
-@query("vector_index_search", f"WITH q AS (SELECT vec_id, {_Q8} AS q FROM embeddings), s AS (SELECT o.vec_id::INT AS query, q.vec_id, round(list_dot_product(q.q, o.q) / (sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(o.q, o.q))), 6) AS score FROM q, q o WHERE o.vec_id < 8) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+@query("vector_index_search", _QUANT + " SELECT query, vec_id, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id))::INT AS rank FROM s QUALIFY rank <= 10")
 def vector_index_search(c):
-    rows = c.table("embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()
-    return vector_index.search(vector_index.build(c.table("embeddings")), [[float(x) for x in r[0]] for r in rows], 10)
+    return _quantised(c, 10)

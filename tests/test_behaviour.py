@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates as D
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
-from shelfmark.operators import changes, quality, queue, rollups, search, sessions
+from shelfmark.operators import changes, quality, queue, rollups, search, sessions, vector_index
 
 
 def _one(spark, column):
@@ -295,3 +296,33 @@ def test_where_to_look(spark):
     tell = lambda rows: rollups.where_to_look(spark.createDataFrame(rows, "drive_number int, n long"), drives).first()[0]
     assert tell([(1, 2), (5, 9), (6, 2)]) == "Found on Drives 1, 5 and 6. Drive 5 has the most (9). Connect Drive 5 (Drawer 2), Drive 6 to open the originals."
     assert tell([(1, 2)]) == "Found on Drive 1." and tell([]) == "Not found on any indexed drive."
+
+
+def _vectors(spark, n=90):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)], "2024-01-01" if i < 60 else "2024-02-01") for i in range(n)]
+    return spark.createDataFrame(rows + [(1000, None, "2024-02-01"), (1001, [0.0] * 6, "2024-02-01"), (1002, [1.0], "2024-02-01")], "vec_id long, embedding array<double>, created_at string")
+
+
+def test_nearest_takes_all_queries_in_blocks(spark, monkeypatch):
+    rows = _vectors(spark)
+    vectors = {r.vec_id: np.array(r.embedding) for r in rows.collect() if r.vec_id < 1000}
+    want = {}
+    for q, v in vectors.items():
+        scored = sorted((-float(x @ v / np.linalg.norm(x) / np.linalg.norm(v)), k) for k, x in vectors.items() if k != q)
+        want[q] = [k for _, k in scored[:4]]
+    monkeypatch.setattr(vector_index, "QUERIES", 25)
+    got: dict = {}
+    for r in sorted(vector_index.nearest(rows, rows, 4, others=True).collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append(r.vec_id)
+    assert {k: v for k, v in got.items() if k < 1000} == want and set(got) == set(want)
+
+
+def test_index_grows_or_is_built_anew(spark):
+    rows = _vectors(spark).where("vec_id < 1000")
+    index = vector_index.build(rows.where("vec_id < 60"))
+    grown, anew = vector_index.append_new(index, rows, "2024-02-01")
+    assert not anew and grown.count() == 90
+    left, anew = vector_index.append_new(grown, rows.where("vec_id <> 5"), "2024-02-01")
+    assert anew and left.count() == 89
+    assert vector_index.fingerprint(grown).first().fingerprint != vector_index.fingerprint(left).first().fingerprint
