@@ -19,8 +19,13 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for one run. A temporary one is used only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-")
+    """A new folder for one run. A temporary one is used only where none is configured and all
+    tasks run in this process; a cluster without one gets a RuntimeError."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shelfmark-")
     return f"{base}/flow-{uuid.uuid4().hex}"
 
 
