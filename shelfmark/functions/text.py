@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ ACCENTED = "éèêëÉÈÊËàáâäÀÁÂÄìíîïÌÍÎÏòóôöÒÓÔÖùú
 PLAIN = "eeeeeeeeaaaaaaaaiiiiiiiioooooooouuuuuuuuccss"
 #: The same in the letter's own case.
 PLAIN_CASED = "".join(p.upper() if a.isupper() else p for a, p in zip(ACCENTED, PLAIN))
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+#: Every accented Latin letter, then marks of their own; the plain letters, and nothing for marks.
+FOLD = "".join(_LATIN) + _MARKS, "".join(unicodedata.normalize("NFD", ch)[0] for ch in _LATIN)
 # First path components that are a computer's, not a folder its owner made.
 FURNITURE = ["desktop", "documents", "pictures", "downloads", "users", "volumes"]
 #: White space of any script.
@@ -57,6 +63,11 @@ def fold_nocase(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fold(text: Column) -> Column:
+    """Lower case without the accents of Latin letters, as searches compare words."""
+    return F.lower(F.translate(text, *FOLD))
+
+
 def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 

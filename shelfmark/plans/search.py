@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import vectors as V
+from shelfmark.functions.text import FOLD
+from shelfmark.operators import fulltext
 from shelfmark.operators import rollups as R
 from shelfmark.operators import search as S
 from shelfmark.operators import vector_index
 from shelfmark.plans.registry import query
 
-TERMS = ["the", "und", "erthth"]
-_TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+ASKED = "of-the und erthth"
+_TOK = f"list_filter(regexp_split_to_array(lower(translate(text, '{FOLD[0]}', '{FOLD[1]}')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 def _vector(c, key: int) -> list[float]:
@@ -20,19 +22,26 @@ def _vector(c, key: int) -> list[float]:
     return [] if row is None else [float(x) for x in row[0]]
 
 
-@query("fts_match", f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_TOK}, ' ') || ' ' AS l FROM documents) WHERE contains(l, ' of the ') OR contains(l, ' und ')")
-def fts_match(c):
-    return c.table("documents").where(S.match(F.col("text"), ["of the", "und"])).select("doc_id")
+_BM = f"""WITH x AS (SELECT file_id, status, unnest([filename, relative_path, coalesce(tags, ''), coalesce(text, '')]) AS text FROM files LEFT JOIN (SELECT file_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS tags FROM file_tags GROUP BY 1) USING (file_id)),
+t AS (SELECT file_id, status, {_TOK} AS t FROM x),
+k AS (SELECT file_id AS doc_id, any_value(status) AS status, sum(len(t))::INT AS len, sum(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')))::INT AS a, sum(len(list_filter(t, lambda x: x = 'und')))::INT AS b, sum(len(list_filter(t, lambda x: x = 'erthth')))::INT AS c FROM t GROUP BY 1),
+s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM k),
+hits AS (SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)), 6) AS score FROM k, s WHERE a + b + c > 0 AND status = 'complete')"""
 
 
-_BM = f"""WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents), k AS (SELECT doc_id, len(t) AS len, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'und')) AS b, len(list_filter(t, lambda x: x = 'erthth')) AS c FROM t),
-s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM k),
-hits AS (SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)), 6) AS score FROM k, s WHERE a + b + c > 0)"""
+def _complete(c, hits):
+    """Hits that are complete files, under the name doc_id."""
+    return hits.withColumnRenamed("key", "doc_id").join(R.complete(c.files).select(F.col("file_id").alias("doc_id")), "doc_id", "left_semi")
+
+
+@query("fts_match", _BM + " SELECT doc_id FROM hits")
+def fts_match(c):
+    return _complete(c, fulltext.found(c.spark, c.text_index, fulltext.phrases(ASKED)).select("key"))
 
 
 @query("bm25", _BM + " SELECT doc_id, score FROM hits")
 def bm25(c):
-    return S.bm25(c.table("documents"), TERMS)
+    return _complete(c, fulltext.bm25(c.spark, c.text_index, fulltext.phrases(ASKED)))
 
 
 @query("rank_score", "WITH t AS (SELECT file_id, size_bytes FROM files ORDER BY size_bytes DESC, file_id LIMIT 100) SELECT file_id, round(CASE WHEN count(*) OVER () <= 1 THEN 1 ELSE 1 - (row_number() OVER (ORDER BY size_bytes DESC, file_id) - 1)::DOUBLE / count(*) OVER () END, 6) AS rank_score FROM t")
@@ -114,13 +123,13 @@ vh AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round({_COS}, 6) DES
 
 @query("hybrid_search", _FUSE + " SELECT doc_id, round(least(coalesce(t * 0.6::DOUBLE, 0) + coalesce(v * (0.4::DOUBLE * 0.5), 0), 1), 6) AS score FROM tr FULL JOIN vr USING (doc_id) ORDER BY score DESC, tp NULLS LAST, vp NULLS LAST, doc_id LIMIT 60")
 def hybrid_search(c):
-    text = S.ranked(S.bm25(c.table("documents"), TERMS), "score", "doc_id", 50)
+    text = S.ranked(bm25(c), "score", "doc_id", 50)
     near = V.top_k(c.table("embeddings"), _vector(c, 0), 50).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
     return S.fuse(text, S.ranked(near, "score", "doc_id", 50), 0.5, "doc_id", 60)
 
 
 query("fused_union", _FUSE + " SELECT doc_id, t IS NOT NULL AS by_text, v IS NOT NULL AS by_vector FROM tr FULL JOIN vr USING (doc_id)")(
-    lambda c: S.ranked(S.bm25(c.table("documents"), TERMS), "score", "doc_id", 50)
+    lambda c: S.ranked(bm25(c), "score", "doc_id", 50)
     .select("doc_id", F.lit(True).alias("t"))
     .join(V.top_k(c.table("embeddings"), _vector(c, 0), 50).select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("v")), "doc_id", "full_outer")
     .select("doc_id", F.col("t").isNotNull().alias("by_text"), F.col("v").isNotNull().alias("by_vector"))

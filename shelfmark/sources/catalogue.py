@@ -14,7 +14,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators import fulltext
 from shelfmark.shipping import ship
+from shelfmark.sources import shared
 
 
 class Catalogue:
@@ -96,6 +98,19 @@ class Catalogue:
             "cast(event_id % 5 AS int) AS attempts", "cast(floor(value * 1000) AS bigint) AS expires_ns", "cast(get_json_object(props, '$.k') AS int) % 6 AS code", "concat('q', user_id, '-', event_id % 50) AS queue_key",
         )
 
+    @cached_property
+    def searchable(self) -> DataFrame:
+        """The fields that a text search reads, one row a file."""
+        tags = self.file_tags.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("tags"))
+        return self.files.select("file_id", "filename", "relative_path", "text").join(tags, "file_id", "left")
+
+    @cached_property
+    def text_index(self) -> str:
+        """The folder of the text index, built when its tables are searched first or have changed."""
+        now = shared.state([self.table(name) for name in ("documents", "lineitem", "part")])
+        build = lambda path: fulltext.build(self.searchable, "file_id", ["filename", "relative_path", "tags", "text"], path, fulltext.splits(self.table("documents")))
+        return shared.once(self.spark, f"{shared.base(self.spark)}/fulltext-{now}", build)
+
 
 #: The same tables for DuckDB, over views of the supplied tables.
 VIEWS = """

@@ -9,7 +9,6 @@ stopped goes on where it was when it is started with the same folder.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,16 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from shelfmark.sources import shared
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for one run. A temporary one is used only where none is configured and all
-    tasks run in this process; a cluster without one gets a RuntimeError."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shelfmark-")
-    return f"{base}/flow-{uuid.uuid4().hex}"
+    """A new folder for one run, in the folder that executors share."""
+    return f"{shared.base(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import dates as D
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
-from shelfmark.operators import changes, quality, queue, rollups, search, sessions, vector_index
+from shelfmark.operators import changes, fulltext, quality, queue, rollups, search, sessions, vector_index
+from shelfmark.sources import shared
 
 
 def _one(spark, column):
@@ -263,9 +265,27 @@ def test_describe(spark, args, words):
     assert _one(spark, D.describe(*map(F.lit, args))) == words
 
 
-def test_no_terms_find_nothing(spark):
-    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    assert search.bm25(docs, []).collect() == []
+def test_text_search(spark, tmp_path):
+    rows = [(1, "Café at the sea", "IMG_7.jpg"), (2, "the", "sea.jpg"), (3, None, "CAFE\u0301.jpg"), (4, "", ""), (5, "the the the sea", "x"), (6, "結婚 sea the", None)]
+    fulltext.build(spark.createDataFrame(rows, "id long, text string, name string"), "id", ["text", "name"], str(tmp_path / "i"))
+    find = lambda q: sorted(r.key for r in fulltext.found(spark, str(tmp_path / "i"), fulltext.phrases(q)).collect())
+    assert find("cafe") == [1, 3] and find("sea jpg") == [1, 2, 3, 5, 6]
+    assert find("the-sea") == [1, 5]  # side by side in one field
+    assert find("the.the the-the-the") == [5] and find("結婚") == [6] and find("- ?") == []
+    score = {r.key: r.score for r in fulltext.bm25(spark, str(tmp_path / "i"), ["the sea"]).collect()}
+    length = lambda n: 1.2 * (0.25 + 0.75 * n / (20 / 6))  # noqa: E731  (20 tokens in 6 documents)
+    assert score == {k: pytest.approx(math.log(1 + 4.5 / 2.5) * 2.2 / (1 + length(n)), abs=1e-6) for k, n in ((1, 7), (5, 5))}
+    assert fulltext.bm25(spark, str(tmp_path / "i"), []).collect() == []
+
+
+def test_tables_are_built_once_for_their_state(spark, tmp_path):
+    table, made, seen = str(tmp_path / "t"), [], []
+    build = lambda path: (made.append(path), spark.range(1).write.parquet(path))
+    for n in (5, 6):
+        spark.range(n).write.mode("overwrite").parquet(table)
+        for _ in range(2):
+            seen.append(shared.once(spark, f"{tmp_path}/{shared.state([spark.read.parquet(table)])}", build))
+    assert len(made) == 2 and seen[0] == seen[1] != seen[2] == seen[3]
 
 
 def test_lexicon(spark):
