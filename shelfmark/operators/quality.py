@@ -14,6 +14,11 @@ def check(name: str, wrong: DataFrame, bad: str = "fail") -> DataFrame:
     return n.select(F.lit(name).alias("name"), F.when(F.col("wrong") == 0, "pass").otherwise(bad).alias("status"), "wrong")
 
 
+def measure(name: str, facts: DataFrame, good: str, bad: str = "fail") -> DataFrame:
+    """As :func:`check`, of a table of one row that has to be `good`."""
+    return check(name, facts.where(f"NOT coalesce({good}, false)"), bad)
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose key is set and not there in the parent."""
     return child.where(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")

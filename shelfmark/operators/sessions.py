@@ -31,6 +31,22 @@ def sessions(rows: DataFrame, ts: str = "ts", by: tuple[str, ...] = ("owner",),
     return bounds.where(F.col("n") >= least)
 
 
+def report(rows: DataFrame, ts: str = "ts", latest: str = "latest", by: tuple[str, ...] = ("owner",), tie: str = "file_id", gap_hours: float = GAP_HOURS, least: int = LEAST, span_hours: float = 48) -> DataFrame:
+    """What a proposal of sessions would do, in one row: sessions proposed, and rows that are
+    grouped, skipped in small sessions, undated, or imprecise.
+
+    A row whose time is only known to lie in a span of over `span_hours`, from `ts` to
+    `latest`, is imprecise and takes no part in sessions; a null `latest` is an exact time.
+    """
+    wide = F.coalesce(F.unix_micros(F.col(latest)) - F.unix_micros(F.col(ts)) > int(span_hours * MICROS), F.lit(False))
+    aside = rows.agg(F.count_if(F.col(ts).isNull()).alias("undated"), F.count_if(wide).alias("imprecise"))
+    sizes = label_sessions(rows.where(~wide), ts, by, tie, gap_hours).groupBy(*by, "session").agg(F.count("*").alias("n"))
+    big = F.col("n") >= least
+    some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    facts = sizes.agg(F.count_if(big).alias("proposed"), some(big).alias("grouped"), some(~big).alias("skipped"))
+    return facts.join(F.broadcast(aside), F.lit(True))  # one row each
+
+
 def split_points(rows: DataFrame, ts: str = "ts", by: tuple[str, ...] = ("owner", "session"), tie: str = "file_id", hours: float = 2.0) -> DataFrame:
     """Gaps of `hours` or more within a session: by, tie, gap_us, rows_after.
 

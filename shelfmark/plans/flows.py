@@ -55,3 +55,22 @@ def vector_index_io(c):
     path = f"{flows.shared_folder(c.spark)}/index"
     c.table("embeddings").write.partitionBy("label").parquet(path)
     return c.spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("cooperative_stop", "SELECT count(*) AS rows, count(DISTINCT event_id) AS events, true AS stopped FROM events")
+def cooperative_stop(c):
+    """A flow that is asked to stop after its first batch, and started again."""
+    folder = flows.shared_folder(c.spark)
+    c.table("events").select("event_id").repartition(3, "event_id").write.parquet(f"{folder}/in")
+    stop = flows.Stop(c.spark, folder)
+
+    def first(df):
+        stop.request()
+        return df
+
+    flow = lambda process: flows.run_batches(flows.read_stream(c.spark, f"{folder}/in"), folder, process)
+    some = flow(first).select(F.count("*").alias("some"))
+    some = c.spark.createDataFrame(some.collect(), "some long")  # one row, as it is now
+    stop.clear()
+    whole = flow(lambda df: df).agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"))
+    return whole.join(F.broadcast(some), F.lit(True)).select("rows", "events", (F.col("some") < F.col("rows")).alias("stopped"))

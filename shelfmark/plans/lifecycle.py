@@ -13,6 +13,7 @@ from shelfmark.operators import rollups as R
 from shelfmark.operators import sessions as X
 from shelfmark.plans.registry import query
 from shelfmark.plans.relational import _seen
+from shelfmark.streaming.flows import shared_folder
 
 _LABELLED = """lab AS (SELECT *, sum(new) OVER (PARTITION BY owner ORDER BY us, file_id) AS session FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY owner ORDER BY us, file_id) > 36000000000 THEN 1 ELSE 0 END AS new FROM captures)),
 ses AS (SELECT owner, session::BIGINT AS session, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM lab GROUP BY 1, 2)"""
@@ -23,12 +24,14 @@ def gap_sessions(c):
     return X.sessions(c.captures)
 
 
-@query("propose_report", f"WITH {_LABELLED} SELECT count(*) FILTER (n >= 5) AS proposed, coalesce(sum(n) FILTER (n >= 5), 0)::BIGINT AS grouped, coalesce(sum(n) FILTER (n < 5), 0)::BIGINT AS skipped, (SELECT count(*) FROM captures WHERE ts IS NULL) AS undated FROM ses")
+_PRECISE = _LABELLED.replace("FROM captures", "FROM captures WHERE event_type <> 'error' OR event_type IS NULL")
+
+
+@query("propose_report", f"WITH {_PRECISE} SELECT count(*) FILTER (n >= 5) AS proposed, coalesce(sum(n) FILTER (n >= 5), 0)::BIGINT AS grouped, coalesce(sum(n) FILTER (n < 5), 0)::BIGINT AS skipped, (SELECT count(*) FROM captures WHERE ts IS NULL) AS undated, (SELECT count(*) FROM captures WHERE ts IS NOT NULL AND event_type = 'error') AS imprecise FROM ses")
 def propose_report(c):
-    by = X.label_sessions(c.captures).groupBy("owner", "session").agg(F.count("*").alias("n"))
-    big = F.col("n") >= X.LEAST
-    facts = by.agg(F.count_if(big).alias("proposed"), F.coalesce(F.sum(F.when(big, F.col("n"))), F.lit(0)).alias("grouped"), F.coalesce(F.sum(F.when(~big, F.col("n"))), F.lit(0)).alias("skipped"))
-    return facts.join(F.broadcast(c.captures.agg(F.count_if(F.col("ts").isNull()).alias("undated"))), F.lit(True))  # one row each
+    # captures of one kind are known to three days, the others exactly
+    days = F.when(F.col("event_type") == "error", F.expr("INTERVAL 72 HOURS")).otherwise(F.expr("INTERVAL 48 HOURS"))
+    return X.report(c.captures.withColumn("latest", F.col("ts") + days))
 
 
 @query("split_points", f"WITH {_LABELLED}, g AS (SELECT owner, session::BIGINT AS session, file_id, us - lag(us) OVER (PARTITION BY owner, session ORDER BY us, file_id) AS gap_us, count(*) OVER (PARTITION BY owner, session ORDER BY us RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rows_after FROM lab) SELECT * FROM g WHERE gap_us >= 7200000000")
@@ -118,6 +121,17 @@ query("moved_files", _MOVED)(_moved)
 query("moved_file_match", f"SELECT count(*) AS n FROM ({_MOVED})")(lambda c: _moved(c).agg(F.count("*").alias("n")))
 
 
+def _changed_originals(c):
+    """Complete files that are there, of other size or time than the catalogue says."""
+    here = _seen(c).select("drive_number", "relative_path", F.col("size_bytes").alias("s"), F.col("mtime_ns").alias("m"))
+    return R.complete(c.files).select("drive_number", "relative_path", "size_bytes", "mtime_ns").join(here, ["drive_number", "relative_path"]).where("s <> size_bytes OR m <> mtime_ns")
+
+
+def _identical_faces(c):
+    """How many faces there are, and how many of them have the most frequent vector."""
+    return c.faces.groupBy(F.xxhash64("embedding")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.max("k").alias("same"))
+
+
 def _checks(c):
     return [
         K.check("files_have_drives", K.orphans(c.files.select("drive_number"), c.drives, "drive_number")),
@@ -127,6 +141,17 @@ def _checks(c):
         K.check("faces_have_clusters", K.orphans(c.faces.select("cluster_id"), c.clusters, "cluster_id"), "halt"),
         K.check("queued_not_tried_often", c.queue.where("state = 'queued' AND attempts > 3"), "warn"),
         K.check("leased_has_lease", c.queue.where("state = 'leased' AND expires_ns IS NULL")),
+        K.check("complete_has_no_lease", c.queue.where("state = 'complete' AND expires_ns IS NOT NULL")),
+        K.check("failed_has_reason", c.queue.where("state = 'failed' AND code IS NULL")),
+        K.check("failed_was_tried", c.queue.where("state = 'failed' AND attempts < 1")),
+        K.check("originals_unchanged", _changed_originals(c), "halt"),
+        K.check("outputs_contained", c.files.where(~T.contained(F.concat(F.lit("/app/"), "relative_path"), "/app")), "halt"),
+        K.check("scans_alive", c.runs.where("outcome = 'running' AND mode <> 'dry_run' AND 1200000000 - coalesce(heartbeat, started) >= 1800"), "warn"),
+        K.measure("throughput", R.throughput(c.runs), "files_per_second >= 0.1", "warn"),
+        K.measure("free_space", c.files.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("used")), "1000000 - used >= 500000", "halt"),
+        K.check("faces_finite", c.faces.where(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))),
+        K.measure("faces_one_size", c.faces.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")), "hi IS NULL OR lo = hi"),
+        K.measure("faces_differ", _identical_faces(c), "n < 5 OR same <= 0.9 * n", "warn"),
     ]
 
 
@@ -136,7 +161,18 @@ UNION ALL SELECT 'complete_has_dates', 'fail', (SELECT count(*) FROM files WHERE
 UNION ALL SELECT 'complete_has_hash', 'fail', (SELECT count(*) FROM files WHERE status = 'complete' AND content_hash IS NULL)
 UNION ALL SELECT 'faces_have_clusters', 'halt', (SELECT count(*) FROM faces WHERE cluster_id NOT IN (SELECT cluster_id FROM clusters))
 UNION ALL SELECT 'queued_not_tried_often', 'warn', (SELECT count(*) FROM queue WHERE state = 'queued' AND attempts > 3)
-UNION ALL SELECT 'leased_has_lease', 'fail', (SELECT count(*) FROM queue WHERE state = 'leased' AND expires_ns IS NULL)), r AS (SELECT name, CASE WHEN wrong = 0 THEN 'pass' ELSE bad END AS status, wrong FROM k)"""
+UNION ALL SELECT 'leased_has_lease', 'fail', (SELECT count(*) FROM queue WHERE state = 'leased' AND expires_ns IS NULL)
+UNION ALL SELECT 'complete_has_no_lease', 'fail', (SELECT count(*) FROM queue WHERE state = 'complete' AND expires_ns IS NOT NULL)
+UNION ALL SELECT 'failed_has_reason', 'fail', (SELECT count(*) FROM queue WHERE state = 'failed' AND code IS NULL)
+UNION ALL SELECT 'failed_was_tried', 'fail', (SELECT count(*) FROM queue WHERE state = 'failed' AND attempts < 1)
+UNION ALL SELECT 'originals_unchanged', 'halt', (SELECT count(*) FROM files WHERE status = 'complete' AND file_id % 5 <> 0 AND file_id % 7 = 0)
+UNION ALL SELECT 'outputs_contained', 'halt', (SELECT count(*) FROM files WHERE list_contains(string_split(relative_path, '/'), '..'))
+UNION ALL SELECT 'scans_alive', 'warn', (SELECT count(*) FROM runs WHERE outcome = 'running' AND mode <> 'dry_run' AND 1200000000 - coalesce(heartbeat, started) >= 1800)
+UNION ALL SELECT 'throughput', 'warn', (SELECT count(*) FROM (SELECT coalesce(sum(files_done)::DOUBLE / nullif(sum(ended - started), 0), 0.3) AS v FROM runs WHERE mode <> 'dry_run' AND ended IS NOT NULL) WHERE v < 0.1)
+UNION ALL SELECT 'free_space', 'halt', (SELECT count(*) FROM (SELECT coalesce(sum(size_bytes), 0) AS used FROM files) WHERE 1000000 - used < 500000)
+UNION ALL SELECT 'faces_finite', 'fail', (SELECT count(*) FROM faces WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0)
+UNION ALL SELECT 'faces_one_size', 'fail', (SELECT count(*) FROM (SELECT min(len(embedding)) AS lo, max(len(embedding)) AS hi FROM faces) WHERE lo <> hi)
+UNION ALL SELECT 'faces_differ', 'warn', (SELECT count(*) FROM (SELECT sum(k) AS n, max(k) AS same FROM (SELECT count(*) AS k FROM faces GROUP BY embedding)) WHERE n >= 5 AND same > 0.9 * n)), r AS (SELECT name, CASE WHEN wrong = 0 THEN 'pass' ELSE bad END AS status, wrong FROM k)"""
 
 query("verifier_suite", _CHECKS + " SELECT * FROM r")(lambda c: K.report(_checks(c)))
 query("report_rollup", _CHECKS + " SELECT count(*) FILTER (status IN ('fail', 'halt')) = 0 AS ok, count(*) FILTER (status = 'halt') > 0 AS has_halt, concat(count(*) FILTER (status = 'pass'), ' pass, ', count(*) FILTER (status = 'warn'), ' warn, ', count(*) FILTER (status = 'fail'), ' fail, ', count(*) FILTER (status = 'halt'), ' halt') AS summary FROM r")(
@@ -269,12 +305,25 @@ query("drives_to_connect", f"SELECT array_to_string(list_sort(list(DISTINCT driv
 )
 
 
-@query("xmp_sidecar", "WITH t AS (SELECT file_id, name, row_number() OVER (PARTITION BY file_id ORDER BY confidence DESC, name, tag_type) AS r FROM file_tags WHERE tag_type <> 'person') SELECT file_id, '<x:subject>' || string_agg('<li>' || name || '</li>', '' ORDER BY r) || '</x:subject>' AS xml FROM t WHERE r <= 20 GROUP BY 1")
+_XMP_HEAD = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:subject><rdf:Bag>'
+_XMP_TEXT = '<dc:description><rdf:Alt><rdf:li xml:lang="x-default">', "</rdf:li></rdf:Alt></dc:description>"
+_XMP_END = "</rdf:Description></rdf:RDF></x:xmpmeta>"
+
+
+@query("xmp_sidecar", f"""WITH t AS (SELECT file_id, name, row_number() OVER (PARTITION BY file_id ORDER BY confidence DESC, name, tag_type) AS r FROM file_tags WHERE tag_type <> 'person'),
+p AS (SELECT DISTINCT f.file_id, p.name FROM faces f JOIN clusters c USING (cluster_id) JOIN people p ON p.person_id = c.person_id WHERE c.status = 'confirmed' AND NOT f.is_false),
+w AS (SELECT file_id, string_agg('<rdf:li>' || name || '</rdf:li>', '' ORDER BY r, name) AS items FROM (SELECT file_id, name, 0 AS r FROM p UNION ALL SELECT file_id, name, r FROM t WHERE r <= 20) GROUP BY 1)
+SELECT file_id, '{_XMP_HEAD}' || coalesce(items, '') || '</rdf:Bag></dc:subject>' || CASE WHEN file_id % 2 = 0 THEN '{_XMP_TEXT[0]}' || filename || ' &amp; more{_XMP_TEXT[1]}' ELSE '' END || '{_XMP_END}' AS xml FROM files LEFT JOIN w USING (file_id)""")
 def xmp_sidecar(c):
+    """People that are confirmed, then the twenty surest other tags, and the description if there is one."""
+    people = c.faces.where("NOT is_false").join(c.clusters.where("status = 'confirmed'").select("cluster_id", F.col("person_id").alias("p")), "cluster_id")
+    people = people.join(c.people.select(F.col("person_id").alias("p"), "name"), "p").select("file_id", "name", F.lit(0).alias("rank")).distinct()
     top = R.top_per_group(c.file_tags.where("tag_type <> 'person'"), ["file_id"], [F.desc("confidence"), F.asc("name"), F.asc("tag_type")], 20)
-    items = top.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("t"))
-    body = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<li>"), T.xml_escape(x["name"]), F.lit("</li>"))), "")
-    return items.select("file_id", F.concat(F.lit("<x:subject>"), body, F.lit("</x:subject>")).alias("xml"))
+    items = people.union(top.select("file_id", "name", "rank")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("t"))
+    rows = c.files.select("file_id", F.when(F.col("file_id") % 2 == 0, F.concat("filename", F.lit(" & more"))).alias("about")).join(items, "file_id", "left")
+    body = F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(F.lit("<rdf:li>"), T.xml_escape(x["name"]), F.lit("</rdf:li>"))), ""), F.lit(""))
+    about = F.coalesce(F.concat(F.lit(_XMP_TEXT[0]), T.xml_escape(F.col("about")), F.lit(_XMP_TEXT[1])), F.lit(""))
+    return rows.select("file_id", F.concat(F.lit(_XMP_HEAD), body, F.lit("</rdf:Bag></dc:subject>"), about, F.lit(_XMP_END)).alias("xml"))
 
 
 @query("backup_snapshot", "SELECT 'files' AS name, (SELECT count(*) FROM files) AS n UNION ALL SELECT 'tags', (SELECT count(*) FROM file_tags) UNION ALL SELECT 'faces', (SELECT count(*) FROM faces) UNION ALL SELECT 'thumbnails_to_copy', (SELECT count(*) FROM files WHERE file_id % 4 = 0)")
@@ -290,11 +339,27 @@ def backup_prune(c):
     return c.runs.withColumn("n", F.row_number().over(w)).where("n > 7").select("run_id")
 
 
-@query("diagnostics_sink", "SELECT count(*) AS files, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing FROM files")
+_COUNTS = "drives, drives_online, files_total, files_complete, files_failed, files_missing, files_changed, thumbnails, visual_embeddings, faces, face_clusters, people_named".split(", ")
+
+
+@query("diagnostics_sink", _CHECKS + """ SELECT (SELECT count(*) FROM drives) AS drives, (SELECT count(*) FROM drives WHERE status = 'online') AS drives_online, (SELECT count(*) FROM files) AS files_total, (SELECT count(*) FROM files WHERE status = 'complete') AS files_complete,
+(SELECT count(*) FROM files WHERE status = 'failed') AS files_failed, (SELECT count(*) FROM files WHERE status = 'missing') AS files_missing, (SELECT count(*) FROM files WHERE status = 'changed') AS files_changed, (SELECT count(*) FROM files WHERE status = 'complete') AS thumbnails, (SELECT count(*) FROM embeddings) AS visual_embeddings,
+(SELECT count(*) FROM faces) AS faces, (SELECT count(*) FROM clusters) AS face_clusters, (SELECT count(*) FROM people) AS people_named, string_agg(name || '=' || status, ',' ORDER BY name) AS checks, true AS redacted FROM r""")
 def diagnostics_sink(c):
-    of = lambda s: F.count_if(F.col("status") == s).alias(s)
-    doc = c.files.agg(F.count("*").alias("files"), of("complete"), of("failed"), of("missing")).select(F.to_json(F.struct("*")).alias("j"))
-    return doc.select(F.from_json("j", "files bigint, complete bigint, failed bigint, missing bigint").alias("d")).select("d.*")
+    """Counts and outcomes only: no name, path, date or text of the catalogue leaves it."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    n = F.count("*")
+    parts = [
+        c.drives.agg(n.alias("drives"), of("online").alias("drives_online")),
+        c.files.agg(n.alias("files_total"), *[of(s).alias(f"files_{s}") for s in ("complete", "failed", "missing", "changed")]),
+        R.complete(c.files).agg(n.alias("thumbnails")), c.table("embeddings").agg(n.alias("visual_embeddings")), c.faces.agg(n.alias("faces")), c.clusters.agg(n.alias("face_clusters")), c.people.agg(n.alias("people_named")),
+    ]
+    outcomes = K.report(_checks(c)).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "status"))), ",").alias("checks"))
+    for part in parts:
+        outcomes = outcomes.join(F.broadcast(part), F.lit(True))  # one row each
+    path = f"{shared_folder(c.spark)}/diagnostics"
+    outcomes.select(F.to_json(F.struct(*_COUNTS, "checks", F.lit(True).alias("redacted"))).alias("value")).write.text(path)
+    return c.spark.read.schema(", ".join(f"{k} bigint" for k in _COUNTS) + ", checks string, redacted boolean").json(path)
 
 
 @query("catalogue_read", "SELECT 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'dates', count(*) FROM dates UNION ALL SELECT 'faces', count(*) FROM faces UNION ALL SELECT 'drives', count(*) FROM drives")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from shelfmark.functions import vectors as V
 from shelfmark.functions.text import FOLD
+from shelfmark.operators import faces as P
 from shelfmark.operators import fulltext
 from shelfmark.operators import rollups as R
 from shelfmark.operators import search as S
@@ -255,3 +256,40 @@ def cluster_snapshot(c):
 @query("vector_index_search", _QUANT + " SELECT query, vec_id, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id))::INT AS rank FROM s QUALIFY rank <= 10")
 def vector_index_search(c):
     return _quantised(c, 10)
+
+
+def _edits(c):
+    """Every eleventh face is edited, in four ways, and every 22nd is moved before."""
+    action = F.element_at(F.array(*map(F.lit, ("move", "split", "unlink", "false"))), (F.col("face_id") % 4 + 1).cast("int"))
+    target = F.when(F.col("face_id") % 4 == 0, 7).cast("long").alias("target")
+    late = c.faces.where("face_id % 11 = 0").select("face_id", F.lit(2).alias("at"), action.alias("action"), target)
+    return late.union(c.faces.where("face_id % 22 = 0").select("face_id", F.lit(1), F.lit("move"), F.lit(9).cast("long")))
+
+
+@query("face_edits", "SELECT face_id, CASE WHEN face_id % 11 <> 0 THEN cluster_id WHEN face_id % 4 = 0 THEN 7 WHEN face_id % 4 = 1 THEN -1 - face_id END::BIGINT AS cluster_id, is_false OR (face_id % 11 = 0 AND face_id % 4 = 3) AS is_false FROM faces")
+def face_edits(c):
+    return P.edit(c.faces, _edits(c)).select("face_id", "cluster_id", "is_false")
+
+
+@query("clusters_after_edits", "SELECT cluster_id, CASE WHEN cluster_id IN (4, 5) THEN 'merged' ELSE status END AS status FROM clusters UNION ALL SELECT -1 - face_id, 'unnamed' FROM faces WHERE face_id % 11 = 0 AND face_id % 4 = 1")
+def clusters_after_edits(c):
+    return P.clusters_after(c.clusters, _edits(c), {4: 3, 5: 3}).select("cluster_id", "status")
+
+
+def _named(c):
+    names = c.clusters.where("cluster_id % 5 = 1").select("cluster_id", F.concat(F.lit(" pErson "), F.col("cluster_id") % 13, F.lit(" ")).alias("name"))
+    return P.name_clusters(c.clusters, c.people, names)
+
+
+_NAMED = """WITH k AS (SELECT lower(name) AS k, min(person_id) AS person_id FROM people GROUP BY 1), a AS (SELECT cluster_id, 'pErson ' || cluster_id % 13 AS name, 'person ' || cluster_id % 13 AS k FROM clusters WHERE cluster_id % 5 = 1),
+n AS (SELECT k, min(name) AS name, ((SELECT max(person_id) FROM people) + row_number() OVER (ORDER BY k))::INT AS person_id FROM a WHERE k NOT IN (SELECT k FROM k) GROUP BY 1), o AS (SELECT k, person_id FROM k UNION ALL SELECT k, person_id FROM n)"""
+
+
+@query("name_clusters", _NAMED + " SELECT c.cluster_id, coalesce(o.person_id, c.person_id) AS person_id, CASE WHEN a.k IS NULL THEN c.status ELSE 'confirmed' END AS status FROM clusters c LEFT JOIN a USING (cluster_id) LEFT JOIN o USING (k)")
+def name_clusters(c):
+    return _named(c)[0].select("cluster_id", "person_id", "status")
+
+
+@query("people_created", _NAMED + " SELECT person_id, name FROM people UNION ALL SELECT person_id, name FROM n")
+def people_created(c):
+    return _named(c)[1].select("person_id", "name")

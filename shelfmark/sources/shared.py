@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,9 @@ def state(tables: list[DataFrame]) -> str:
     """Digest of the files that tables are read from: their paths, sizes and times. No column is read."""
     m = F.col("_metadata")
     mark = F.xxhash64(m["file_path"], m["file_size"], m["file_modification_time"]).cast("decimal(38,0)")
-    rows = [t.select(mark.alias("m")).agg(F.count("*").alias("n"), F.sum("m").alias("s")).first() for t in tables]  # a row each
-    return uuid.uuid5(uuid.NAMESPACE_OID, repr([(r.n, str(r.s)) for r in rows])).hex
+    rows = [t.select(mark.alias("m")).agg(F.lit(i).alias("i"), F.count("*").alias("n"), F.sum("m").alias("s")) for i, t in enumerate(tables)]
+    found = reduce(DataFrame.union, rows).collect()  # a row each
+    return uuid.uuid5(uuid.NAMESPACE_OID, repr(sorted((r.i, r.n, str(r.s)) for r in found))).hex
 
 
 def once(spark: SparkSession, path: str, build: Callable[[str], None]) -> str:

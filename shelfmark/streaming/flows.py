@@ -9,9 +9,11 @@ stopped goes on where it was when it is started with the same folder.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -31,6 +33,28 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+class Stop:
+    """A request to stop, as a file beside a flow's output. A flow obeys one that is as new as
+    its own start, at the next batch, and takes no notice of an older one."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        self._path, self._out = at(f"{folder}/stop"), at(f"{folder}/out")
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def request(self) -> None:
+        self._fs.create(self._path, True).close()
+
+    def clear(self) -> None:
+        self._fs.delete(self._path, False)
+
+    def has_output(self) -> bool:
+        return self._fs.exists(self._out)
+
+    def requested(self, since_ms: int) -> bool:
+        return self._fs.exists(self._path) and self._fs.getFileStatus(self._path).getModificationTime() >= since_ms
+
+
 def _watch(spark: SparkSession, write, folder: str) -> None:
     write.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
@@ -54,19 +78,31 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
 def run_batches(stream: DataFrame, folder: str, process: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], bool] = lambda df: True, halt_after: int = 3) -> DataFrame:
     """Claim, process, verify and commit batch by batch; `halt_after` failures in a row stop it.
 
-    A batch's folder is overwritten when the batch is run again, so a retry adds nothing.
+    A batch's folder is overwritten when the batch is run again, so a retry adds nothing. A
+    flow that is asked to stop (:class:`Stop` of its folder) ends before its next batch, with
+    what it has written; started anew with the same folder it goes on from there.
     """
-    failed = 0
+    spark, failed, stopped = stream.sparkSession, 0, False
+    stop, began = Stop(spark, folder), int(time.time() * 1000)
 
     def commit(df: DataFrame, i: int) -> None:
-        nonlocal failed
+        nonlocal failed, stopped
+        stopped = stop.requested(began)
+        if stopped:
+            raise InterruptedError("asked to stop")
         process(df).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
         failed = 0 if verify(df.sparkSession.read.parquet(f"{folder}/out/batch={i}")) else failed + 1
         if failed >= halt_after:
             raise RuntimeError(f"{failed} batches in a row failed their checks")
 
-    _watch(stream.sparkSession, stream.writeStream.foreachBatch(commit), folder)
-    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+    try:
+        _watch(spark, stream.writeStream.foreachBatch(commit), folder)
+    except StreamingQueryException:
+        if not stopped:
+            raise
+    if stopped and not stop.has_output():
+        return process(spark.createDataFrame([], stream.schema)).limit(0)
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
 
 
 def run_distinct(stream: DataFrame, folder: str, key: str) -> DataFrame:

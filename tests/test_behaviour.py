@@ -2,16 +2,19 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates as D
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
-from shelfmark.operators import changes, fulltext, quality, queue, rollups, search, sessions, vector_index
+from shelfmark.operators import changes, faces, fulltext, quality, queue, rollups, search, sessions, vector_index
 from shelfmark.sources import shared
+from shelfmark.streaming import flows
 
 
 def _one(spark, column):
@@ -265,6 +268,55 @@ def test_describe(spark, args, words):
     assert _one(spark, D.describe(*map(F.lit, args))) == words
 
 
+def test_a_flow_stops_when_asked_and_goes_on(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "flow")
+    spark.range(30).repartition(3).write.parquet(source)
+    stop = flows.Stop(spark, folder)
+    stop.request()
+    os.utime(tmp_path / "flow" / "stop", (0, 0))  # a request of an earlier run is none of this one's
+
+    def asks(df):
+        stop.request()
+        return df
+
+    flow = lambda process: flows.run_batches(flows.read_stream(spark, source), folder, process).count()
+    assert 0 < flow(asks) < 30
+    stop.clear()
+    assert flow(lambda df: df) == 30
+
+
+def test_a_broken_flow_says_so(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException, match="failed their checks"):
+        flows.run_batches(flows.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "flow"), lambda df: df, lambda df: False, halt_after=1)
+
+
+def test_report_sets_imprecise_rows_aside(spark):
+    rows = [(i, 1, s, s + dt.timedelta(hours=h)) for i, (s, h) in enumerate(zip(_every(8, 10), (0, 48, 49, 0, 0, 0, 0, 0)))]
+    rows += [(8, 2, START, None), (9, 2, None, None)]
+    got = sessions.report(spark.createDataFrame(rows, "file_id long, owner long, ts timestamp, latest timestamp")).first()
+    assert got.asDict() == {"proposed": 1, "grouped": 7, "skipped": 1, "undated": 1, "imprecise": 1}
+
+
+def test_face_edits(spark):
+    table = spark.createDataFrame([(i, 1, False) for i in range(5)], "face_id long, cluster_id long, is_false boolean")
+    log = [(0, 1, "false", None), (0, 2, "move", 3), (1, 2, "split", None), (1, 1, "unlink", None), (2, 1, "unlink", None), (9, 1, "move", 2)]
+    log = spark.createDataFrame(log, "face_id long, at int, action string, target long")
+    got = {r.face_id: (r.cluster_id, r.is_false) for r in faces.edit(table, log).collect()}
+    assert got == {0: (3, True), 1: (-2, False), 2: (None, False), 3: (1, False), 4: (1, False)}
+
+
+def test_clusters_are_named(spark):
+    clusters = spark.createDataFrame([(1, None, "suggested"), (2, None, "unnamed"), (3, 5, "confirmed")], "cluster_id long, person_id int, status string")
+    people = spark.createDataFrame([(5, "Ada", "friend")], "person_id int, name string, relationship string")
+    names = spark.createDataFrame([(1, " ADA "), (2, "Bo")], "cluster_id long, name string")
+    named, known = faces.name_clusters(clusters, people, names)
+    assert sorted(map(tuple, named.select("cluster_id", "person_id", "status").collect())) == [(1, 5, "confirmed"), (2, 6, "confirmed"), (3, 5, "confirmed")]
+    assert sorted((r.person_id, r.name) for r in known.collect()) == [(5, "Ada"), (6, "Bo")]
+    with pytest.raises(Exception, match="needs a name"):
+        faces.name_clusters(clusters, people, spark.createDataFrame([(1, " ")], names.schema))[0].collect()
+
+
 def test_text_search(spark, tmp_path):
     rows = [(1, "Café at the sea", "IMG_7.jpg"), (2, "the", "sea.jpg"), (3, None, "CAFE\u0301.jpg"), (4, "", ""), (5, "the the the sea", "x"), (6, "結婚 sea the", None)]
     fulltext.build(spark.createDataFrame(rows, "id long, text string, name string"), "id", ["text", "name"], str(tmp_path / "i"))
