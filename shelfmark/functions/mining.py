@@ -147,3 +147,19 @@ def embed_grid(grid: np.ndarray) -> np.ndarray:
     cells = np.concatenate([grid / 255, grid.mean(axis=2, keepdims=True) / 255], axis=2).ravel()
     v = np.append(cells, 0.5)
     return v / math.sqrt(float(v @ v))
+
+
+# Parts of labels that tell a place under the sky from one inside.
+OUTDOOR = ["outdoor", "sky", "beach", "mountain", "field", "forest", "garden", "landscape", "sea", "ocean", "snow", "street", "park", "tree", "plant", "water", "sunset"]
+INDOOR = ["indoor", "room", "furniture", "kitchen", "table", "document", "screenshot", "food", "wall", "curtain", "bed", "chair"]
+
+
+def place(labels: Column) -> Column:
+    """(indoor, outdoor) of an array of (name, confidence): the largest confidence of a label that
+    holds one of the words, 0 without one."""
+
+    def best(words: list[str]) -> Column:
+        hits = F.filter(labels, lambda x: F.lower(x["name"]).rlike("|".join(words)))
+        return F.coalesce(F.array_max(F.transform(hits, lambda x: x["confidence"].cast("double"))), F.lit(0.0))
+
+    return F.struct(best(INDOOR).alias("indoor"), best(OUTDOOR).alias("outdoor"))

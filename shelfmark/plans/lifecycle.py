@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import text as T
+from shelfmark.operators import backup as B
 from shelfmark.operators import changes as C
 from shelfmark.operators import quality as K
 from shelfmark.operators import queue as Q
@@ -231,11 +234,18 @@ def effective_status(c):
     return c.drives.join(mounted, "drive_number", "left").select("drive_number", seen.alias("status"))
 
 
-@query("drop_drive", "SELECT 'files' AS what, count(*) AS n FROM files WHERE drive_number <> 3 UNION ALL SELECT 'tags', count(*) FROM file_tags WHERE file_id NOT IN (SELECT file_id FROM files WHERE drive_number = 3) UNION ALL SELECT 'faces', count(*) FROM faces WHERE file_id NOT IN (SELECT file_id FROM files WHERE drive_number = 3)")
+_GONE = "(SELECT file_id FROM files WHERE drive_number = 3)"
+
+
+@query("drop_drive", " UNION ALL ".join(
+    [f"SELECT '{t}' AS what, count(*) AS n FROM {t} WHERE drive_number <> 3 OR drive_number IS NULL" for t in ("drives", "files", "runs", "queue")] + [f"SELECT '{t}', count(*) FROM {t} WHERE file_id NOT IN {_GONE}" for t in ("file_tags", "dates", "faces")]
+))
 def drop_drive(c):
+    """Rows left in each table that hangs on a drive, at once or by its files."""
     gone = c.files.where("drive_number = 3").select("file_id")
-    of = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return of(c.files.join(gone, "file_id", "left_anti"), "files").union(of(c.file_tags.join(gone, "file_id", "left_anti"), "tags")).union(of(c.faces.join(gone, "file_id", "left_anti"), "faces"))
+    left = {t: getattr(c, t).where("drive_number <> 3 OR drive_number IS NULL") for t in ("drives", "files", "runs", "queue")}
+    left |= {t: getattr(c, t).join(gone, "file_id", "left_anti") for t in ("file_tags", "dates", "faces")}
+    return reduce(lambda a, b: a.union(b), [rows.agg(F.lit(t).alias("what"), F.count("*").alias("n")) for t, rows in left.items()])
 
 
 @query("upsert_tag", "SELECT DISTINCT substr(sha256(concat(name, chr(0), tag_type)), 1, 32) AS id, name, tag_type FROM file_tags")
@@ -333,6 +343,16 @@ def backup_snapshot(c):
     return of(c.files, "files").union(of(c.file_tags, "tags")).union(of(c.faces, "faces")).union(of(c.files.join(mirrored, "file_id", "left_anti"), "thumbnails_to_copy"))
 
 
+@query("backup_restore", "SELECT 's1' AS snapshot, 'drives' AS name, (SELECT count(*) FROM drives) AS n UNION ALL SELECT 's1', 'tags', (SELECT count(*) FROM file_tags) UNION ALL SELECT 's1', 'dates', (SELECT count(*) FROM dates)")
+def backup_restore(c):
+    """What a snapshot's tables hold once they are read back."""
+    base = shared_folder(c.spark)
+    B.create({"drives": c.drives, "tags": c.file_tags, "dates": c.dates}, f"{base}/s1")
+    back = B.restore(c.spark, f"{base}/s1")
+    counts = reduce(lambda a, b: a.union(b), [t.agg(F.lit(k).alias("name"), F.count("*").alias("n")) for k, t in back.items()])
+    return B.manifests(c.spark, base).select("snapshot", "name").join(F.broadcast(counts), "name").select("snapshot", "name", "n")  # a row a table
+
+
 @query("backup_prune", "SELECT run_id FROM runs QUALIFY row_number() OVER (PARTITION BY drive_number ORDER BY started DESC, run_id DESC) > 7")
 def backup_prune(c):
     w = Window.partitionBy("drive_number").orderBy(F.desc("started"), F.desc("run_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates as D
+from shelfmark.functions import mining
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
 from shelfmark.plans.registry import query
@@ -120,6 +121,12 @@ def scene_sentence(c):
     return ranked.select("file_id", F.when(F.size(sure) > 0, F.array_join(sure, ", ")).otherwise(F.concat(F.lit("possibly "), F.col("t")[0]["name"])).alias("sentence"))
 
 
+@query("scene_place", "WITH l AS (SELECT p_partkey, lower(p_name) AS name, p_size / 50.0::DOUBLE AS confidence FROM part) SELECT p_partkey, CASE WHEN regexp_matches(name, 'indoor|room|furniture|kitchen|table|document|screenshot|food|wall|curtain|bed|chair') THEN confidence ELSE 0.0 END::DOUBLE AS indoor, CASE WHEN regexp_matches(name, 'outdoor|sky|beach|mountain|field|forest|garden|landscape|sea|ocean|snow|street|park|tree|plant|water|sunset') THEN confidence ELSE 0.0 END::DOUBLE AS outdoor FROM l")
+def scene_place(c):
+    label = F.array(F.struct(F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("confidence")))
+    return c.table("part").select("p_partkey", mining.place(label).alias("x")).select("p_partkey", "x.*")
+
+
 _CAP = "CASE WHEN file_id % 2 = 0 THEN replace(earliest, '-', ':') || ' 10:11:12' END"
 
 

@@ -10,9 +10,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates as D
+from shelfmark.functions import mining
 from shelfmark.functions import text as T
 from shelfmark.functions import vectors as V
-from shelfmark.operators import changes, faces, fulltext, quality, queue, rollups, search, sessions, vector_index
+from shelfmark.operators import backup, changes, faces, fulltext, quality, queue, rollups, search, sessions, vector_index
 from shelfmark.sources import shared
 from shelfmark.streaming import flows
 
@@ -317,6 +318,24 @@ def test_clusters_are_named(spark):
         faces.name_clusters(clusters, people, spark.createDataFrame([(1, " ")], names.schema))[0].collect()
 
 
+def test_a_damaged_snapshot_is_not_restored(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, `x.y` string")
+    for name in ("t1", "t2", "t3"):
+        backup.create({"rows": rows}, f"{tmp_path}/{name}")
+    assert sorted(map(tuple, backup.restore(spark, f"{tmp_path}/t1")["rows"].collect()), key=str) == [(1, "a"), (2, None)]
+    assert sorted(r.snapshot for r in backup.manifests(spark, str(tmp_path)).collect()) == ["t1", "t2", "t3"]
+    assert [r.snapshot for r in backup.surplus(backup.manifests(spark, str(tmp_path)), 2).collect()] == ["t1"]
+    rows.where("id = 1").write.mode("overwrite").parquet(f"{tmp_path}/t1/rows")
+    with pytest.raises(ValueError, match="rows is damaged"):
+        backup.restore(spark, f"{tmp_path}/t1")
+
+
+def test_place_of_a_scene(spark):
+    labels = lambda *x: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("confidence")) for n, c in x])
+    assert _one(spark, mining.place(labels(("Blue Sky", 0.4), ("skyline", 0.7), ("bedroom", 0.2), ("cat", 0.9)))) == (0.2, 0.7)
+    assert _one(spark, mining.place(labels(("cat", 0.9)))) == (0.0, 0.0)
+
+
 def test_text_search(spark, tmp_path):
     rows = [(1, "Café at the sea", "IMG_7.jpg"), (2, "the", "sea.jpg"), (3, None, "CAFE\u0301.jpg"), (4, "", ""), (5, "the the the sea", "x"), (6, "結婚 sea the", None)]
     fulltext.build(spark.createDataFrame(rows, "id long, text string, name string"), "id", ["text", "name"], str(tmp_path / "i"))
