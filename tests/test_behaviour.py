@@ -171,9 +171,10 @@ def test_report_halts(spark):
     assert tuple(quality.rollup(rows).first()) == (False, True, "1 pass, 0 warn, 0 fail, 1 halt")
 
 
-def test_phrase_needs_neighbouring_tokens(spark):
+def test_phrase_needs_neighbouring_tokens(spark, tmp_path):
     rows = spark.createDataFrame([(1, "Red, fox!"), (2, "red old fox"), (3, None)], "id int, text string")
-    assert [r.id for r in rows.where(search.match(F.col("text"), ["RED fox"])).collect()] == [1]
+    fulltext.build(rows, "id", ["text"], str(tmp_path / "i"))
+    assert [r.key for r in fulltext.found(spark, str(tmp_path / "i"), fulltext.phrases("RED-fox")).collect()] == [1]
 
 
 def test_greedy_clusters_follow_key_order(spark):
