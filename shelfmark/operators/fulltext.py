@@ -27,8 +27,11 @@ def tokens(text: Column) -> Column:
 
 
 def phrases(query: str) -> list[str]:
-    """A search box's text as phrases: each word is one, parted where it holds other signs."""
-    words = ("".join(ch if ch.isalnum() else " " for ch in word).split() for word in query.split())
+    """A search box's text as phrases, folded as the texts are: each word is one, parted where it
+    holds other signs."""
+    letters, plain = T.FOLD
+    table = {ord(ch): plain[i] if i < len(plain) else None for i, ch in enumerate(letters)}
+    words = ("".join(ch if ch.isalnum() else " " for ch in word).split() for word in query.translate(table).lower().split())
     return [" ".join(w) for w in words if w]
 
 
