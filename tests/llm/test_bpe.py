@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -70,6 +72,22 @@ def test_supplied_documents(spark, sf_dir, library):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_latin_words_are_the_words():
+    rng, wide = random.Random(3), regex.compile(bpe.WORD).findall
+    latin = re.compile(bpe.LATIN_WORD).findall
+    for _ in range(5000):
+        text = "".join(chr(rng.choice((rng.randrange(256), 32, 39, 115))) for _ in range(rng.randrange(14)))
+        assert latin(text) == wide(text)
+
+
+def test_forgotten_words_are_encoded_alike(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 6)
+    small, whole = bpe.Codec(PATH), bpe.codec(PATH)
+    words = [f" {a}{b}" for a in "theing" for b in ("and", "ion", "er", "x")]
+    for word in words + words[::-1] + words:
+        assert small[word] == whole[word] and len(small) + len(small.older) <= 6
+
+
 def test_rows(odd_docs, no_docs):
     rows = bpe.encode(odd_docs, PATH, ids=False).collect()
     assert len(rows) == odd_docs.count() and "ids" not in rows[0].asDict()
