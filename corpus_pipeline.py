@@ -19,6 +19,9 @@ from shelfmark.llm.shared import folder
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text's mean word posterior below which its language counts as unknown.
 LEAST_SCORE = 0.35
+#: What a batch of rows on its way to or from Python holds at most, where the session keeps
+#: Spark's defaults of 10,000 rows and 64 MB, which a task holds several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304")}
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,6 +92,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, with each result kept in the shared folder until
     the next one is written; what the last stage reads stays, as its result is lazy."""
+    for name, (default, own) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, own)  # stays set, as the last stage is lazy
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
